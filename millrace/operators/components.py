@@ -31,12 +31,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     node may carry a third of all edges. Rounds grow with the logarithm of the longest path.
     """
     pairs = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-    now, seen = materialize(pairs.distinct(), "edges"), None
+    signature = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())
+    now = materialize(pairs.distinct(), "edges")
+    seen = signature(now)
     for _ in range(max_rounds):
         after = materialize(_smaller_star(_larger_star(now)), "edges")
         discard(now)
         now = after
-        mark = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())
+        mark = signature(now)
         if mark == seen:
             break
         seen = mark
