@@ -2,23 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import language, mixing, preference, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(doc_id: str) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~_held_out("doc_id")))
+    return language.predict(docs.select("doc_id", "text"), model).select(F.col("id").alias("doc_id"), _held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_format(_table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), "v1")
+    base = F.col("failed").bitwiseAND(F.lit(quality.POLICIES["base"].mask).cast("bigint")) != 0
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_language": op2_language,
+    "op3_preference": op3_preference,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference": preference.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op7_quality": quality.ORACLE,
+}
