@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, preference, quality, simhash, tokens
+from millrace.llm import embeddings, language, mixing, preference, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language": op2_language,
@@ -55,10 +59,12 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference": preference.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op10_embeddings": embeddings.ORACLE,
 }
