@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embeddings, language, mixing, pieces, preference, quality, simhash, tokens
+from millrace.llm import embeddings, language, mixing, pieces, pii, preference, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_format(_table(spark, sf_dir, "conversations"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language": op2_language,
     "op3_preference": op3_preference,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
