@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embeddings, language, mixing, pieces, pii, preference, quality, simhash, tokens
+from millrace.llm import embeddings, language, mixing, pieces, pii, preference, quality, simhash, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(_table(spark, sf_dir, "documents"), window=20).withColumnRenamed("id", "doc_id")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98).withColumnRenamed("id", "vec_id")
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_pieces": op8_pieces,
+    "op9_substrings": op9_substrings,
     "op10_embeddings": op10_embeddings,
 }
 
