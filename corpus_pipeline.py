@@ -1,4 +1,58 @@
-"""Placeholder stage list; the stages follow as their operators are built."""
+"""A training corpus from raw documents: known languages, one of each group of copies, personal data masked, sources
+mixed to their weights, and texts encoded."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import language, mixing, pieces, pii, simhash
+from millrace.runtime import materialize
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts that every language model codes worse than any labelled text."""
+    return language.keep_known(docs, language.train(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each SimHash class."""
+    return simhash.keep_one(docs, words=4, radius=4)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data; every document stays, n_chars follows its text."""
+    clean = pii.redact(docs, pii.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source near its target; a document may be taken several times."""
+    return mixing.take(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of each text."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language", known_languages),
+    ("near-duplicates", one_of_each),
+    ("private data", private_data),
+    ("mixing", mixed),
+    ("pieces", encoded),
+]
+
+#: SQL can express neither the language models nor the encoding.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs

@@ -274,6 +274,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return model
 
 
+def rejections(model: Model, bits: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    return (chars == 0) | (bits.min(axis=1) > model.ceilings[bucket(chars)])
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, rejected) for each row of docs, from the text alone.
 
@@ -295,9 +299,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             low = bits.min(axis=1)
             score = np.where(some, 1 / np.exp((low[:, None] - bits) * model.sharpness).sum(axis=1), 0.0)
             names = np.array([*model.langs, UNDETERMINED], object)[np.where(some, best, len(model.langs))]
-            rejected = ~some | (low > model.ceilings[bucket(chars)])
+            rejected = rejections(model, bits, chars)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["id", "lang_pred", "score", "entropy", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that predict() does not reject, with all their columns."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared, where = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(~rejections(shared.value, *scorer.entropies(batch.column(where).to_pylist()))))
+
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)

@@ -68,6 +68,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98).withColumnRenamed("id", "vec_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language": op2_language,
@@ -79,11 +85,13 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_substrings": op9_substrings,
     "op10_embeddings": op10_embeddings,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference": preference.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op9_substrings": substrings.ORACLE,
     "op10_embeddings": embeddings.ORACLE,
 }

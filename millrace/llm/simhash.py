@@ -247,3 +247,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classed.join(classes, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class: the least id, then the least text hash.
+
+    Nulls in id_col come last. Rows alike in id and text are one document, of which one row stays.
+    """
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
+    rows = docs.select(key.alias("key"), text.alias("text"))
+    classes = materialize(near_duplicates(rows, "key", "text", words, radius), "classes").filter(F.col("id") == F.col("component_id"))
+    chosen = classes.groupBy("id").agg(F.count("*").alias("n"))
+    repeated = bool(chosen.filter("n > 1").limit(1).count())
+    kept = docs.join(chosen.select(F.col("id").alias("__key")), key == F.col("__key"), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept

@@ -358,3 +358,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(texts, pa.string())] if with_text else [])], names=["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
+
+
+ORACLE = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(words[i:i + 19], ' ') AS win FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM t)),
+later AS (SELECT rid, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, i) > 1),
+covered AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 20)) AS p FROM later)),
+removed AS (SELECT rid, count(*) AS n FROM covered GROUP BY rid),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS whole FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM t)
+         ANTI JOIN covered USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(whole, '')) AS kept_sha256
+FROM t LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""
