@@ -1,4 +1,275 @@
 """Registered queries of the core engine over the driver's tables, with their DuckDB texts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text
+from millrace.operators import catalog, fusion, graph, lexical, search, vectors
+from millrace.plans.model import CUSTOMER, NATION, PART, REGION, Model, with_
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+QUERY = '"of the" OR keit*'
+AS_OF = 1735689600
+
+
+def query(sql: str | None = None):
+    """Registers a function of a Model under its own name, with its DuckDB text."""
+
+    def add(f: Callable[[Model], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _query_vector(m: Model) -> list[float]:
+    return list(m.table("embeddings").filter("vec_id = 0").select("embedding").first()[0])
+
+
+# ---- chunks and search -------------------------------------------------------------------------------------------
+
+
+@query(with_("k_chunks") + "SELECT chunk_id, doc_id, seq, start_offset, end_offset, sha256(search_text) AS text_hash FROM k_chunks")
+def chunk_fixed(m: Model) -> DataFrame:
+    return m.chunks().select("chunk_id", "doc_id", F.col("seq").cast("bigint").alias("seq"), "start_offset", "end_offset", F.sha2("search_text", 256).alias("text_hash"))
+
+
+@query(with_("k_chunks", "k_tokens") + "SELECT term, id, count(*) AS tf FROM (SELECT chunk_id AS id, unnest(t) AS term FROM k_tokens) GROUP BY ALL")
+def postings_tf(m: Model) -> DataFrame:
+    return lexical.postings(m.chunks())
+
+
+_BM25 = r"""k_tf AS (SELECT chunk_id, doc_id, lang, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS a,
+  len(list_filter(t, lambda x: starts_with(x, 'keit'))) AS b FROM k_tokens),
+k_stat AS (SELECT count(*) AS n, avg(dl) AS avg, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM k_tf),
+k_bm AS (SELECT chunk_id, doc_id, lang, -(CASE WHEN ln((n - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - na + 0.5) / (na + 0.5)) END * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avg))
+  + CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nb + 0.5) / (nb + 0.5)) END * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avg))) AS bm25
+  FROM k_tf, k_stat WHERE a > 0 OR b > 0)"""
+
+
+@query(with_("k_chunks", "k_tokens", more=_BM25) + "SELECT chunk_id, round(bm25, 6) AS bm25 FROM k_bm ORDER BY k_bm.bm25, chunk_id LIMIT 50")
+def bm25_topk(m: Model) -> DataFrame:
+    return lexical.search(m.chunks(), QUERY, 50).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(with_("k_chunks", "k_tokens", more=_BM25) + "SELECT chunk_id, round(bm25, 6) AS bm25 FROM k_bm WHERE lang = 'de' ORDER BY k_bm.bm25, chunk_id LIMIT 20")
+def bm25_domain_filter(m: Model) -> DataFrame:
+    return lexical.search(m.chunks(), QUERY, 500, domain=" DE ").select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(with_("k_chunks", "k_tokens", more=_BM25) + "SELECT chunk_id, round(bm25, 6) AS bm25 FROM k_bm")
+def bm25_all(m: Model) -> DataFrame:
+    return lexical.scored(m.chunks(), QUERY).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+_NEAR = """k_near AS (SELECT vec_id * 1000 AS chunk_id, label, list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS distance
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+
+
+@query(with_(more=_NEAR) + "SELECT chunk_id, round(distance, 6) AS distance FROM k_near ORDER BY k_near.distance, chunk_id LIMIT 25")
+def vector_topk_l2(m: Model) -> DataFrame:
+    return vectors.top_k(m.vectors(), _query_vector(m), 25).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+_LEG = _NEAR + ", k_pool AS (SELECT * FROM k_near ORDER BY distance, chunk_id LIMIT 60), k_sem AS (SELECT chunk_id, distance FROM k_pool JOIN k_chunks USING (chunk_id) WHERE lang = 'en' ORDER BY distance, chunk_id LIMIT 20)"
+
+
+@query(with_("k_chunks", more=_LEG) + "SELECT chunk_id, round(distance, 6) AS distance FROM k_sem")
+def vector_topk_overfetch(m: Model) -> DataFrame:
+    return vectors.semantic(m.vectors(), m.chunks(), _query_vector(m), 20, domain="EN").select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query(with_("k_chunks", more=_NEAR) + "SELECT chunk_id, round(distance, 6) AS distance FROM k_near JOIN k_chunks USING (chunk_id) WHERE lang = 'fr' ORDER BY k_near.distance, chunk_id LIMIT 20")
+def vector_topk_prefilter(m: Model) -> DataFrame:
+    return vectors.semantic(m.vectors(), m.chunks(), _query_vector(m), 20, domain="fr", prefilter=True).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+_FUSED = (
+    _BM25
+    + ", k_lex AS (SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25, chunk_id) AS lr FROM k_bm QUALIFY lr <= 50), "
+    + _NEAR
+    + """, k_pool AS (SELECT * FROM k_near ORDER BY distance, chunk_id LIMIT 150),
+k_sem AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS sr FROM k_pool JOIN k_chunks USING (chunk_id) QUALIFY sr <= 50),
+k_both AS (SELECT chunk_id, bm25, lr, sr, coalesce(1.0::DOUBLE / (20 + lr), 0) + coalesce(1.0::DOUBLE / (20 + sr), 0) AS raw FROM k_lex FULL JOIN k_sem USING (chunk_id)),
+k_scaled AS (SELECT *, CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 0.5 ELSE (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) END AS r,
+  CASE WHEN bm25 IS NULL OR max(bm25) OVER () = min(bm25) OVER () THEN 0.5 ELSE 1 - (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS b FROM k_both),
+k_fused AS (SELECT chunk_id, 0.7 * r + 0.3 * b AS score, CASE WHEN sr IS NULL THEN 'lexical' WHEN lr IS NULL THEN 'semantic' ELSE 'hybrid' END AS source_type,
+  row_number() OVER (ORDER BY 0.7 * r + 0.3 * b DESC, chunk_id) AS prior FROM k_scaled QUALIFY prior <= 50)"""
+)
+
+
+@query(with_("k_chunks", "k_tokens", more=_FUSED) + "SELECT chunk_id, round(score, 6) AS score, source_type FROM k_fused")
+def rrf_fusion(m: Model) -> DataFrame:
+    chunks = m.chunks()
+    fused = fusion.fuse(lexical.search(chunks, QUERY, 50), vectors.semantic(m.vectors(), chunks, _query_vector(m), 50), top_n=50)
+    return fused.select("chunk_id", F.round("score", 6).alias("score"), "source_type")
+
+
+_BOOSTED = """, k_final AS (SELECT f.chunk_id, f.source_type, original_path, score * CASE WHEN is_deprecated THEN 0.2 ELSE 1 END * CASE WHEN is_official THEN 1.5 ELSE 1 END
+    * CASE WHEN updated_at > 1735689600 - 90 * 86400 THEN 1.2 ELSE 1 END * CASE d.source_type WHEN 'src1' THEN 1.3 WHEN 'src2' THEN 0.7 ELSE 1 END AS s, prior
+  FROM k_fused f JOIN k_chunks c USING (chunk_id) JOIN k_docs d ON d.id = c.doc_id)"""
+_SETTINGS = search.Settings(boosts=fusion.Boosts(authority={"src1": 1.3, "src2": 0.7}))
+
+
+@query(with_("k_docs", "k_chunks", "k_tokens", more=_FUSED + _BOOSTED) + "SELECT chunk_id, row_number() OVER (ORDER BY s DESC, prior) AS rank, round(s, 6) AS score, source_type, original_path FROM k_final QUALIFY rank <= 10")
+def hybrid_search(m: Model) -> DataFrame:
+    """The flagship: two legs, fusion, boosts, documents."""
+    found = search.hybrid(m.chunks(), m.documents(), m.vectors(), QUERY, lambda _: _query_vector(m), AS_OF, settings=_SETTINGS)
+    return found.select("chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), "source_type", "original_path")
+
+
+@query(with_("k_docs", "k_chunks", "k_tokens", more=_FUSED + _BOOSTED) + "SELECT chunk_id, row_number() OVER (ORDER BY s DESC, prior) AS rank, round(s, 6) AS score FROM k_final")
+def rerank_boosts(m: Model) -> DataFrame:
+    chunks = m.chunks()
+    fused = fusion.fuse(lexical.search(chunks, QUERY, 50), vectors.semantic(m.vectors(), chunks, _query_vector(m), 50), top_n=50)
+    ranked = fused.withColumn("prior", F.row_number().over(fusion.Window.orderBy(F.desc("score"), "chunk_id")))
+    again = fusion.rerank(search.enrich(ranked, chunks, m.documents()), AS_OF, _SETTINGS.boosts)
+    return again.select("chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(with_("k_chunks", "k_tokens", more=_BM25) + "SELECT chunk_id, round(1 / bm25, 6) AS score, 'lexical' AS source_type, row_number() OVER (ORDER BY bm25, chunk_id) AS prior FROM k_bm QUALIFY prior <= 30")
+def standalone_lexical(m: Model) -> DataFrame:
+    rows = fusion.standalone(lexical.search(m.chunks(), QUERY, 30), "lexical")
+    return rows.select("chunk_id", F.round("score", 6).alias("score"), "source_type", F.col("prior").cast("bigint").alias("prior"))
+
+
+# ---- catalog -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_("k_docs", "k_chunks", "k_entities", "k_facts", "k_links")
+    + """SELECT 'documents' AS metric, count(*) AS value FROM k_docs UNION ALL SELECT 'chunks', count(*) FROM k_chunks UNION ALL SELECT 'entities', count(*) FROM k_entities
+UNION ALL SELECT 'facts', count(*) FROM k_facts UNION ALL SELECT 'links', count(*) FROM k_links UNION ALL SELECT 'domains', count(DISTINCT lang) FROM k_docs
+UNION ALL SELECT 'source_types', count(DISTINCT source_type) FROM k_docs UNION ALL SELECT 'entity_types', count(DISTINCT type) FROM k_entities
+UNION ALL SELECT 'entity_domains', count(DISTINCT domain) FROM k_entities UNION ALL SELECT 'predicates', count(DISTINCT predicate) FROM k_facts
+UNION ALL SELECT 'graph_nodes', count(*) FROM (SELECT s FROM k_links UNION SELECT o FROM k_links)"""
+)
+def catalog_overview(m: Model) -> DataFrame:
+    return catalog.overview(m.documents(), m.chunks(), m.entities(), m.facts(), m.links())
+
+
+@query("SELECT source AS source_type, count(*) AS n FROM documents GROUP BY 1")
+def docs_by_type(m: Model) -> DataFrame:
+    return catalog.counts_by(m.documents(), "source_type")
+
+
+@query("SELECT DISTINCT lang AS domain FROM documents")
+def unique_domains(m: Model) -> DataFrame:
+    return catalog.distinct_domains(m.documents())
+
+
+@query("SELECT doc_id AS id, 'docs/' || source || '/' || doc_id AS original_path FROM documents ORDER BY doc_id LIMIT 40 OFFSET 80")
+def docs_paginated(m: Model) -> DataFrame:
+    rows, _ = catalog.page(m.documents().select("id", "original_path"), 80, 40)
+    return rows
+
+
+@query(with_("k_entities") + "SELECT id, type, name, domain FROM k_entities WHERE contains(lower(name), 'er#0000') AND type = 'customer'")
+def entity_like_filter(m: Model) -> DataFrame:
+    return catalog.where(m.entities(), name=("~", "ER#0000"), type=("=", "customer"), domain=("=", ""))
+
+
+@query(with_("k_entities") + "SELECT type, domain, count(*) AS n FROM k_entities GROUP BY ALL")
+def entities_by_type(m: Model) -> DataFrame:
+    return catalog.counts_by(m.entities(), "type", "domain")
+
+
+@query(with_("k_facts", "k_entities") + "SELECT s AS id, predicate, status FROM k_facts WHERE contains(predicate, 'located') AND status = 'approved' AND EXISTS (SELECT 1 FROM k_entities e WHERE e.id IN (s, o) AND contains(lower(e.name), 'er#00000000'))")
+def fact_search(m: Model) -> DataFrame:
+    return catalog.search_facts(m.facts(), m.entities(), predicate="LOCATED", status="approved", entity="ER#00000000").select("id", "predicate", "status")
+
+
+@query(with_("k_facts") + "SELECT e AS entity_id, s, o FROM (SELECT DISTINCT s, o, unnest([s, o]) AS e FROM k_facts WHERE status = 'approved') WHERE e BETWEEN 2000000000 AND 2000000004 OR e = 1000000001")
+def facts_by_entity(m: Model) -> DataFrame:
+    ids = m.spark.createDataFrame([(NATION + k,) for k in range(5)] + [(REGION + 1,)], "id bigint")
+    return catalog.facts_of(m.facts(), ids).select("entity_id", F.col("subject_entity_id").alias("s"), F.col("object_entity_id").alias("o"))
+
+
+@query(with_("k_facts") + "SELECT s AS id, count(o_orderkey) AS weight FROM k_facts LEFT JOIN orders ON s = 4000000000 + o_custkey GROUP BY s")
+def fact_weights(m: Model) -> DataFrame:
+    return catalog.fact_weights(m.facts(), m.fact_sources())
+
+
+@query("SELECT content_hash, n FROM (SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+def content_hash_dedup(m: Model) -> DataFrame:
+    return catalog.counts_by(m.documents(), "content_hash").filter("n > 1")
+
+
+@query("SELECT DISTINCT doc_id, k, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN v::VARCHAR[] ELSE [v ->> '$'] END) AS value FROM (SELECT event_id AS doc_id, 'k' AS k, json(props) -> '$.k' AS v FROM events) WHERE v IS NOT NULL")
+def json_membership(m: Model) -> DataFrame:
+    values = F.explode(catalog.json_values(F.col("props"), "$.k"))
+    return m.table("events").select(F.col("event_id").alias("doc_id"), F.lit("k").alias("k"), values.alias("value")).distinct()
+
+
+# ---- graph -------------------------------------------------------------------------------------------------------
+
+
+def _graph(m: Model) -> tuple[DataFrame, DataFrame]:
+    entities = m.entities()
+    return graph.nodes(entities), graph.edges(entities, m.facts(), m.links())
+
+
+@query(with_("k_facts", "k_links", "k_edges") + "SELECT s AS from_id, o AS to_id, relation, kind FROM k_edges")
+def graph_edges(m: Model) -> DataFrame:
+    return _graph(m)[1]
+
+
+@query(with_("k_entities", "k_facts", "k_links", "k_edges") + "SELECT n AS nodes, e AS edges, round(2.0 * e / n, 6) AS average_degree FROM (SELECT count(*) AS n FROM k_entities), (SELECT count(*) AS e FROM k_edges)")
+def graph_stats(m: Model) -> DataFrame:
+    return graph.stats(*_graph(m)).withColumn("average_degree", F.round("average_degree", 6))
+
+
+@query(with_("k_entities") + "SELECT id, name, CASE WHEN lower(name) = 'asia' THEN 0 WHEN starts_with(lower(name), 'asia') THEN 1 ELSE 2 END AS tier FROM k_entities WHERE contains(lower(name), 'a') AND type IN ('region', 'nation')")
+def find_partial_tiers(m: Model) -> DataFrame:
+    nodes = graph.nodes(m.entities()).filter(F.col("type").isin("region", "nation"))
+    tier = F.when(F.col("name_key") == "asia", 0).when(F.startswith("name_key", F.lit("asia")), 1).otherwise(2)
+    return graph.find_partial(nodes, "A", 1000).select("id", "name", tier.alias("tier"))
+
+
+@query(with_("k_facts", "k_links", "k_edges") + "SELECT id, array_to_string(list_sort(list(DISTINCT o)), ',') AS neighbors FROM (SELECT s AS id, o FROM k_edges UNION ALL SELECT o, s FROM k_edges) GROUP BY id")
+def neighbors(m: Model) -> DataFrame:
+    return graph.neighbors(_graph(m)[1]).select("id", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+_BFS = """k_walk(id, depth) AS (SELECT 5000000001::BIGINT, 0 UNION SELECT e.o, w.depth + 1 FROM k_walk w JOIN k_links e ON e.s = w.id WHERE w.depth < 4)"""
+
+
+@query(with_("k_links", more=_BFS, recursive=True) + "SELECT id, min(depth) AS depth FROM k_walk GROUP BY id")
+def bfs_reachable_depth(m: Model) -> DataFrame:
+    found, _ = graph.traverse(*_graph(m), PART + 1, graph.Options(max_depth=4, max_nodes=10**6, follow_links=True))
+    return found
+
+
+@query()
+def bfs_tree_edges(m: Model) -> DataFrame:
+    _, edges = graph.traverse(*_graph(m), PART + 1, graph.Options(max_depth=3, max_nodes=50, follow_links=True))
+    return edges
+
+
+@query("SELECT 1 AS pair, true AS found UNION ALL SELECT 2, false UNION ALL SELECT 3, true")
+def path_exists(m: Model) -> DataFrame:
+    """Domains bound facts, so a nation's fact to its region cannot be walked from a customer of the nation."""
+    g, e = _graph(m)
+    tests = [(1, graph.path_exists(g, e, CUSTOMER + 1, CUSTOMER + 1, 0)), (2, graph.path_exists(g, e, CUSTOMER + 1, REGION + 99, 3)), (3, graph.path_exists(g, e, NATION + 0, REGION + 0, 2))]
+    return m.spark.createDataFrame(tests, "pair int, found boolean")
+
+
+# ---- text keys ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT p_name AS name, regexp_replace(trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')), '^(the|an|a)( +|$)', '') AS match_key FROM part")
+def match_keys(m: Model) -> DataFrame:
+    return m.table("part").select(F.col("p_name").alias("name"), text.match_key(F.col("p_name")).alias("match_key")).distinct()
+
+
+@query("SELECT name, array_to_string(list_distinct_ordered, '|') AS bigrams FROM (SELECT name, list_filter(g, lambda x, i: list_position(g, x) = i) AS list_distinct_ordered FROM (SELECT name, list_transform(range(1, length(name)), lambda i: substr(lower(name), i, 2)) AS g FROM (SELECT DISTINCT p_name AS name FROM part)))")
+def bigrams(m: Model) -> DataFrame:
+    return m.table("part").select(F.col("p_name").alias("name")).distinct().select("name", F.array_join(text.bigrams(F.col("name")), "|").alias("bigrams"))
