@@ -109,7 +109,7 @@ SQL = {
     "k_links": r"""k_links AS (SELECT 5000000000 + a.p_partkey AS s, 5000000000 + b.p_partkey AS o FROM part a JOIN part b
   ON lower(a.p_name) = lower(b.p_name) AND b.p_partkey <> a.p_partkey AND abs(b.p_partkey - a.p_partkey) <= 40)""",
     "k_edges": r"""k_edges AS (SELECT s, o, predicate AS relation, 'fact' AS kind FROM k_facts WHERE status = 'approved' UNION ALL SELECT s, o, 'same_as', 'link' FROM k_links)""",
-    "k_events": r"""k_events AS (SELECT event_id, event_type AS type, user_id::VARCHAR AS identity, props AS event, epoch(ts)::BIGINT AS at FROM events)""",
+    "k_events": r"""k_events AS (SELECT event_id, event_type AS type, user_id::VARCHAR AS identity, props AS event, floor(epoch(ts))::BIGINT AS due FROM events)""",
 }
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import catalog, fusion, graph, lexical, search, vectors
+from millrace.operators import catalog, chunking, extract, fusion, graph, lexical, linking, maintenance, resolve, search, vectors
 from millrace.plans.model import CUSTOMER, NATION, PART, REGION, Model, with_
+from millrace.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -273,3 +274,162 @@ def match_keys(m: Model) -> DataFrame:
 @query("SELECT name, array_to_string(list_distinct_ordered, '|') AS bigrams FROM (SELECT name, list_filter(g, lambda x, i: list_position(g, x) = i) AS list_distinct_ordered FROM (SELECT name, list_transform(range(1, length(name)), lambda i: substr(lower(name), i, 2)) AS g FROM (SELECT DISTINCT p_name AS name FROM part)))")
 def bigrams(m: Model) -> DataFrame:
     return m.table("part").select(F.col("p_name").alias("name")).distinct().select("name", F.array_join(text.bigrams(F.col("name")), "|").alias("bigrams"))
+
+
+# ---- resolution, links, extraction -------------------------------------------------------------------------------
+
+
+@query()
+def jaro_winkler_pairs(m: Model) -> DataFrame:
+    names = m.entities().filter("type = 'part'").select("id", "domain", "type", "name")
+    return resolve.similar_pairs(names, 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def cluster_components(m: Model) -> DataFrame:
+    return resolve.clusters(m.entities().filter("type = 'part'").select("id", "domain", "type", "name"), 0.95)
+
+
+@query()
+def stem_keys(m: Model) -> DataFrame:
+    return m.table("part").select(F.col("p_name").alias("name"), text.stem_key("p_name").alias("stem_key")).distinct()
+
+
+@query(with_("k_entities") + "SELECT m.id AS mention_id, min(e.id) AS entity_id, 1 AS tier FROM k_entities m JOIN k_entities e ON m.type = 'part' AND e.type = 'part' AND m.domain = e.domain AND lower(m.name) = lower(e.name) GROUP BY m.id")
+def resolve_exact_tiers(m: Model) -> DataFrame:
+    """Every part finds the least part of its name and brand at the first tier."""
+    parts = m.entities().filter("type = 'part'")
+    mentions = parts.select(F.col("id").alias("mention_id"), "domain", "type", "name")
+    none = m.spark.createDataFrame([], "entity_id bigint, alias string")
+    return resolve.candidate_tiers(mentions, parts, none, threshold=0.99)
+
+
+@query()
+def resolver_replay(m: Model) -> DataFrame:
+    return resolve.replay(m.entities().filter("type = 'part'").select(F.col("id").alias("mention_id"), "domain", "type", "name"), 0.9)
+
+
+@query(with_("k_entities") + "SELECT a.id AS s, b.id AS t FROM k_entities a JOIN k_entities b ON a.type = b.type AND lower(a.name) = lower(b.name) AND lower(a.domain) <> lower(b.domain) WHERE a.type = 'part' AND array_length(string_split(a.name, ' ')) >= 2")
+def link_equals(m: Model) -> DataFrame:
+    parts = m.entities().filter("type = 'part'")
+    return linking.equals_linker(parts).select(F.col("subject_entity_id").alias("s"), F.col("target_entity_id").alias("t"))
+
+
+@query(with_("k_entities") + "SELECT a.id AS s, b.id AS t, CASE WHEN a.domain < 'Brand#2' THEN 'r1' ELSE 'r2' END AS evidence FROM k_entities a JOIN k_entities b ON a.type = b.type AND lower(a.name) = lower(b.name) AND lower(a.domain) < lower(b.domain) WHERE a.type = 'part' AND (a.domain < 'Brand#2' OR contains(b.name, 'a'))")
+def rule_linker(m: Model) -> DataFrame:
+    parts = m.entities().filter("type = 'part'")
+    rules = [linking.Rule("r2", "b.name.contains('a')", "alike", 1), linking.Rule("r1", "a.domain < 'Brand#2' && !(size(facts(a)) > 0)", "alike", 5)]
+    found = linking.rule_linker(linking.cross_domain_pairs(parts), linking.prepare(parts), rules)
+    return found.select(F.col("subject_entity_id").alias("s"), F.col("target_entity_id").alias("t"), "evidence")
+
+
+@query(r"""WITH RECURSIVE """ + with_("k_chunks")[5:] + r"SELECT DISTINCT chunk_id AS id, unnest(regexp_extract_all(search_text, '[A-Za-z0-9._]+@[A-Za-z0-9]+\.[A-Za-z.]+')) AS name FROM k_chunks")
+def ner_regex_email(m: Model) -> DataFrame:
+    return extract.by_patterns(m.chunks(), [extract.Pattern("Email", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[A-Za-z.]+")]).select("id", "name")
+
+
+_QUOTE = r"""q AS (SELECT chunk_id, search_text AS t, nullif(strpos(lower(search_text), 'the'), 0) AS s, nullif(strpos(lower(search_text), 'and'), 0) AS o FROM k_chunks),
+w AS (SELECT *, least(s, o) AS f FROM q),
+v AS (SELECT chunk_id, CASE WHEN f IS NULL THEN substr(t, 1, 120) ELSE substr(t, greatest(f - 60, 1), least(f + 63, length(t) + 1) - greatest(f - 60, 1)) END AS body,
+  CASE WHEN f IS NULL THEN length(t) > 120 ELSE f - 60 > 1 OR f + 63 <= length(t) END AS cut FROM w),
+l AS (SELECT chunk_id, cut, body, CASE WHEN regexp_matches(body, '[\n\r]') THEN trim(regexp_replace(body, '[\n\r][^\n\r]*$', '')) ELSE body END AS line FROM v)"""
+
+
+@query(with_("k_chunks", more=_QUOTE) + "SELECT chunk_id, CASE WHEN cut THEN CASE WHEN ends_with(line, '...') THEN line ELSE line || '...' END ELSE body END AS quote FROM l")
+def quote_extract(m: Model) -> DataFrame:
+    return m.chunks().select("chunk_id", extract.quote(F.col("search_text"), F.lit("the"), F.lit("and")).alias("quote"))
+
+
+# ---- queue, reconciliation, garbage ------------------------------------------------------------------------------
+
+
+@query(with_("k_events") + "SELECT type, identity, arg_max(event, row(due, event_id)) AS event, max(due) AS next_attempt_at, 'pending' AS status FROM k_events GROUP BY type, identity")
+def queue_upsert(m: Model) -> DataFrame:
+    return maintenance.enqueue(m.events().withColumnRenamed("event_id", "order")).select("type", "identity", "event", "next_attempt_at", "status")
+
+
+def _tasks(m: Model) -> DataFrame:
+    return m.events().select(F.col("event_id").alias("id"), "type", "identity", F.when(F.col("event_id") % 5 == 0, "error").when(F.col("event_id") % 5 == 1, "processing").otherwise("pending").alias("status"), F.pmod("event_id", F.lit(3)).cast("int").alias("attempts"), F.col("at").alias("next_attempt_at"))
+
+
+_TASKS = "k_tasks AS (SELECT event_id AS id, type, identity, CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 5 = 1 THEN 'processing' ELSE 'pending' END AS status, (event_id % 3)::INT AS attempts, due AS next_attempt_at FROM k_events)"
+_NOW = 1705000000
+
+
+@query(with_("k_events", more=_TASKS) + f"SELECT id, 'processing' AS status FROM k_tasks WHERE status = 'pending' AND next_attempt_at <= {_NOW} ORDER BY next_attempt_at, id LIMIT 100")
+def queue_claim(m: Model) -> DataFrame:
+    return maintenance.claim(_tasks(m), _NOW).select("id", "status")
+
+
+@query(with_("k_events", more=_TASKS) + f"SELECT id, CASE WHEN attempts = 2 THEN 'error' ELSE 'pending' END AS status, attempts + 1 AS attempts, CASE WHEN attempts = 2 THEN next_attempt_at ELSE {_NOW} + (30 << attempts) END AS next_attempt_at FROM k_tasks")
+def queue_backoff(m: Model) -> DataFrame:
+    return maintenance.failed(_tasks(m), _NOW).select("id", "status", "attempts", "next_attempt_at")
+
+
+@query(with_("k_events", more=_TASKS) + "SELECT id, CASE WHEN status = 'processing' THEN 'pending' WHEN status = 'error' AND starts_with(identity, '1') THEN 'pending' ELSE status END AS status FROM k_tasks")
+def queue_recover(m: Model) -> DataFrame:
+    return maintenance.reset_errors(maintenance.recovered(_tasks(m)), "1").select("id", "status")
+
+
+@query(
+    """WITH disk AS (SELECT 'docs/' || source || '/' || doc_id AS path, sha256(text) AS now FROM documents WHERE source <> 'src7'),
+known AS (SELECT 'docs/' || source || '/' || doc_id AS path, sha256(CASE WHEN source = 'src5' THEN text || 'x' ELSE text END) AS known FROM documents WHERE lang <> 'es'),
+doom AS (SELECT 'docs/' || source || '/' || doc_id AS path FROM documents WHERE source = 'src3')
+SELECT path, CASE WHEN now IS NULL THEN 'delete' WHEN now = known THEN CASE WHEN doom.path IS NOT NULL THEN 'cancel_delete' ELSE 'unchanged' END ELSE 'index' END AS action
+FROM disk FULL JOIN known USING (path) LEFT JOIN doom USING (path)"""
+)
+def reconcile_diff(m: Model) -> DataFrame:
+    docs = m.documents().select("source_type", F.col("domains")[0].alias("lang"), F.col("original_path").alias("path"), "content_hash", "content")
+    disk = docs.filter("source_type <> 'src7'").select("path", F.col("content_hash").alias("hash"))
+    known = docs.filter("lang <> 'es'").select("path", F.when(F.col("source_type") == "src5", F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.col("content_hash")).alias("hash"))
+    tasks = docs.filter("source_type = 'src3'").select(F.lit("doc:delete").alias("type"), F.col("path").alias("identity"), F.lit("pending").alias("status"))
+    return maintenance.reconcile(disk, known, tasks)
+
+
+@query(with_("k_entities", "k_facts") + "SELECT id FROM k_entities WHERE id NOT IN (SELECT 5000000000 + l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) AND id NOT IN (SELECT s FROM k_facts UNION SELECT o FROM k_facts)")
+def gc_orphans(m: Model) -> DataFrame:
+    """Parts never returned in a large amount have no source here, and no fact."""
+    sources = m.table("lineitem").filter("l_returnflag = 'R' and l_quantity >= 45").select((F.lit(PART) + F.col("l_partkey")).alias("entity_id"))
+    return maintenance.orphan_entities(m.entities(), sources, m.facts()).select("id")
+
+
+@query(with_("k_facts") + "SELECT CASE WHEN s = 2000000003 THEN 2000000002 ELSE s END AS s, predicate, CASE WHEN o = 2000000003 THEN 2000000002 ELSE o END AS o FROM k_facts WHERE NOT (s = 2000000003 AND o = (SELECT o FROM k_facts WHERE s = 2000000002))")
+def merge_entities(m: Model) -> DataFrame:
+    """Two nations made one of a kind and merged: facts follow, a repeated one goes."""
+    entities = m.entities().withColumn("domain", F.when(F.col("type") == "nation", "one").otherwise(F.col("domain")))
+    pair = lambda a, b: m.spark.createDataFrame([], f"{a} bigint, {b} bigint")
+    tables = {"entities": entities, "facts": m.facts(), "chunk_entities": pair("chunk_id", "entity_id"), "entity_sources": pair("entity_id", "document_id"), "entity_links": m.links().limit(0), "entity_aliases": m.spark.createDataFrame([], "entity_id bigint, alias string")}
+    out, _ = resolve.merge(tables, NATION + 2, NATION + 3)
+    return out["facts"].select(F.col("subject_entity_id").alias("s"), "predicate", F.col("object_entity_id").alias("o"))
+
+
+@query("WITH g AS (SELECT ts, event_type, sum(CASE WHEN gap > 30 OR gap IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS k FROM (SELECT *, epoch(ts - lag(ts) OVER (ORDER BY ts, event_id)) AS gap FROM events)) SELECT floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM g GROUP BY k")
+def session_debounce(m: Model) -> DataFrame:
+    events = m.table("events").select("ts", F.col("event_type").alias("path"))
+    return maintenance.debounced(events, 30).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "n")
+
+
+@query("WITH log AS (SELECT event_id % 400 AS chunk_id, event_id AS version, event_id % 9 = 0 AS deleted FROM events) SELECT chunk_id, max(version) AS version FROM log GROUP BY 1 HAVING NOT arg_max(deleted, version)")
+def vector_supersession(m: Model) -> DataFrame:
+    log = m.table("events").select(F.pmod("event_id", F.lit(400)).alias("chunk_id"), F.col("event_id").alias("version"), (F.col("event_id") % 9 == 0).alias("deleted"), F.array(F.col("value").cast("float")).alias("embedding"))
+    return vectors.latest(log).select("chunk_id", "version")
+
+
+@query(with_("k_chunks") + "SELECT 'missing' AS what, chunk_id FROM k_chunks WHERE chunk_id NOT IN (SELECT vec_id * 1000 FROM embeddings) UNION ALL SELECT 'orphan', vec_id * 1000 FROM embeddings WHERE vec_id * 1000 NOT IN (SELECT chunk_id FROM k_chunks)")
+def vector_heal(m: Model) -> DataFrame:
+    v, c = m.vectors(), m.chunks()
+    return vectors.missing(v, c).select(F.lit("missing").alias("what"), "chunk_id").unionByName(vectors.orphans(v, c).select(F.lit("orphan").alias("what"), "chunk_id"))
+
+
+# ---- sources -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def html_to_markdown(m: Model) -> DataFrame:
+    return m.table("pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
+
+
+@query()
+def markdown_chunks(m: Model) -> DataFrame:
+    pages = m.table("pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
+    return chunking.structured_chunks(pages, chunking.Chunker("markdown"), "page_id", "markdown")
