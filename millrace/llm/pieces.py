@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from millrace.runtime import bound_batches
 
 SPACE = "▁"
-#: Entries of a worker's cache of encoded segments and of pair tests; each starts anew when full.
-CACHE, PAIRS = 400_000, 1_000_000
+#: Entries of a worker's cache of encoded segments, and left pieces of its cache of pair tests; each starts anew when full.
+CACHE, PAIRS = 500_000, 50_000
 #: Segments up to this length are cached; the search looks for a common boundary each so many characters.
 LONGEST, COMMIT_EVERY = 64, 64
 
@@ -91,7 +92,8 @@ class Vocabulary:
 class Codec:
     vocabulary: Vocabulary
     cache: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    splits: dict[str, tuple[str, str] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -99,6 +101,11 @@ class Codec:
         self.bytes = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(v.pieces, v.kinds, strict=True)) if kind == BYTE}
         self.unknown = v.kinds.index(UNKNOWN)
         self.widest = max(map(len, self.ids))
+        self.ranks = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-v.scores[self.ids[p]], self.ids[p])))}
+        self.machine = ahocorasick.Automaton()
+        for piece, number in self.ids.items():
+            self.machine.add_word(piece, (len(piece), number, piece))
+        self.machine.make_automaton()
         self.floor = min(v.scores[k] for k in self.ids.values()) - 10.0
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, kind in zip(v.pieces, v.kinds, strict=True)]
         joined = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
@@ -107,51 +114,88 @@ class Codec:
         # Every path has a boundary before a run of spaces and beside a character that no longer piece holds.
         self.segments = re.compile(f"{SPACE}*{inside}+|{SPACE}+|[^{re.escape(joined)}{SPACE}]" if not inner else r"(?s:.+)").findall
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by byte-pair merges: the best-scored, then leftmost, adjacent pair first."""
-        parts, scores = list(text), self.vocabulary.scores
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces of a short text by byte-pair merges, the best-scored, then leftmost, adjacent pair first; and the last merge."""
+        parts, ranks, last = list(text), self.ranks, None
         while len(parts) > 1:
-            found = [(-scores[self.ids[both]], k) for k in range(len(parts) - 1) if (both := parts[k] + parts[k + 1]) in self.ids]
+            found = [(ranks[both], k) for k in range(len(parts) - 1) if (both := parts[k] + parts[k + 1]) in ranks]
             if not found:
                 break
             k = min(found)[1]
+            last = (parts[k], parts[k + 1])
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        return parts, last
+
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge ends in this one, or None if merges of its characters do not end in it."""
+        if (found := self.splits.get(piece, 0)) == 0:
+            parts, last = self.merged(piece)
+            found = self.splits[piece] = last if len(parts) == 1 else None
+            if found and any(self.ranks[x] > self.ranks[piece] for x in found if len(x) > 1):
+                raise ValueError(f"piece {piece!r} ranks before a part of it")
+        return found
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether byte-pair merges leave the boundary between two adjacent pieces; left may be empty."""
-        key = (left, right)
-        if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return found
+        """Whether byte-pair merges leave the boundary between two adjacent pieces; left may be empty.
+
+        Merges are undone from the last to the first on both sides of the boundary. While two symbols face each other,
+        their own merge would have come first if it ranks before the one that is undone next; of equal ranks the left
+        one comes first.
+        """
+        if len(right) > 1 and self.split(right) is None:
+            return False
+        ranks, limit = self.ranks, np.inf
+        rank = lambda x: ranks[x] if len(x) > 1 else -1
+        while left:
+            if ranks.get(left + right, np.inf) < limit:
+                return False
+            a, b = rank(left), rank(right)
+            if a > b:
+                limit, left = a, self.split(left)[1]
+            elif b < 0:
+                break
+            else:
+                limit, right = b + 0.5, self.split(right)[0]
+        return True
 
     def search(self, text: str) -> Iterator[list[int]]:
         """Ids of a text in order, as soon as they are certain.
 
-        Each boundary takes its last piece from boundaries at most the longest piece behind it. In a unigram model it
+        The automaton of all pieces gives those that end at each boundary, longest first. In a unigram model a boundary
         takes the best sum of scores; in a BPE model a piece is admitted only after a piece that merges would leave
         beside it, and exactly one path reaches each boundary, so the first admitted piece is taken. Live boundaries
         lie within the longest piece of the front; when their backpointers meet in one boundary, the ids before it are
         committed and forgotten.
         """
-        bpe, scores, ids, pairs, widest = self.vocabulary.bpe, self.vocabulary.scores, self.ids, self.pairs, self.widest
+        bpe, scores, pairs = self.vocabulary.bpe, self.vocabulary.scores, self.pairs
         base, starts, last, best = 0, [0], [""], [0.0]
+        matches = self.machine.iter(text)
+        end, found = next(matches, (-1, None))
         for j in range(1, len(text) + 1):
-            top, start, chosen = -np.inf, -1, ""
-            for i in range(j - widest if j - base > widest else base, j):
-                piece = text[i:j]
-                if piece not in ids and i < j - 1:
-                    continue
-                if bpe:
-                    ok = pairs.get((last[i - base], piece))
-                    if self.follows(last[i - base], piece) if ok is None else ok:
-                        top, start, chosen = 0.0, i, piece
-                        break
-                elif (total := best[i - base] + (scores[ids[piece]] if piece in ids else self.floor)) > top:
-                    top, start, chosen = total, i, piece
-            starts.append(start)
+            chosen, top, some = "", -np.inf, False
+            while end == j - 1:
+                size, number, piece = found
+                if not bpe:
+                    some |= size == 1
+                    if (total := best[j - size - base] + scores[number]) > top:
+                        chosen, top = piece, total
+                elif not chosen:
+                    left = last[j - size - base]
+                    known = pairs.get(left)
+                    if known is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        known = pairs[left] = {}
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = known[piece] = self.follows(left, piece)
+                    if ok:
+                        chosen = piece
+                end, found = next(matches, (-1, None))
+            if not chosen or not (bpe or some):
+                if (total := best[-1] + self.floor) > top or not chosen:
+                    chosen, top = text[j - 1], total
+            starts.append(j - len(chosen))
             last.append(chosen)
             best.append(top)
             if j % COMMIT_EVERY == 0 and (meet := self._meeting(starts, base, j)) > base:

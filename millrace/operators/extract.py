@@ -34,7 +34,7 @@ def by_patterns(chunks: DataFrame, patterns: list[Pattern], id_col: str = "chunk
     out = None
     for p in patterns:
         group = 1 if re.compile(p.pattern).groups else 0
-        names = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"(?U){p.pattern}"), F.lit(group)), F.trim)))
+        names = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"(?U){p.pattern}"), F.lit(group)), lambda x: F.trim(x))))
         rows = chunks.select(F.col(id_col).alias("id"), names.alias("name"), F.lit(p.type.lower()).alias("type"), F.lit(p.domain).alias("domain"), F.lit(float(p.confidence)).alias("confidence"))
         out = rows if out is None else out.unionByName(rows)
     return out.filter("name <> ''").dropDuplicates(["id", "name", "type", "domain"])
