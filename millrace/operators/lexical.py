@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
 from millrace.functions.text import fold_py, tokens
+from millrace.runtime import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
@@ -136,18 +137,25 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "searc
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def scored(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "search_text") -> DataFrame:
-    """All columns of the chunks that match, and bm25: negative, lower is better.
+def counted(chunks: DataFrame, phrases: list[Phrase], text_col: str = "search_text") -> DataFrame:
+    """The other columns of the chunks with __len, their tokens, and __tf0.. how often each phrase occurs."""
+    numbers = let(tokens(F.col(text_col)), lambda t: F.struct(F.size(t).alias("len"), *(p.count(t).alias(f"tf{k}") for k, p in enumerate(phrases))))
+    rest = [c for c in chunks.columns if c != text_col]
+    return chunks.select(*rest, numbers.alias("__c")).select(*rest, F.col("__c.len").alias("__len"), *(F.col(f"__c.tf{k}").alias(f"__tf{k}") for k in range(len(phrases))))
 
-    One scan counts each phrase of the query in each chunk; one global aggregate (a row) gives chunk count, average
-    length and document frequencies over the whole index, whatever filters follow. No postings are shuffled.
+
+def scored(chunks: DataFrame, query: str, text_col: str = "search_text") -> DataFrame:
+    """The columns of the chunks that match, less their text, and bm25: negative, lower is better.
+
+    One scan of the texts counts each phrase of the query in each chunk into a narrow table in the shared folder; one
+    global aggregate of it (a row) gives chunk count, average length and document frequencies over the whole index,
+    whatever filters follow. No postings are shuffled.
     """
     tree = parse(query)
     if tree is None:
-        return chunks.withColumn("bm25", F.lit(0.0)).limit(0)
+        return chunks.drop(text_col).withColumn("bm25", F.lit(0.0)).limit(0)
     phrases = list(dict.fromkeys(tree.phrases()))
-    counted = let(tokens(F.col(text_col)), lambda t: F.struct(F.size(t).alias("len"), *(p.count(t).alias(f"tf{k}") for k, p in enumerate(phrases))))
-    counts = chunks.withColumn("__c", counted).select(*chunks.columns, F.col("__c.len").alias("__len"), *(F.col(f"__c.tf{k}").alias(f"__tf{k}") for k in range(len(phrases))))
+    counts = materialize(counted(chunks, phrases, text_col), "phrases")
     stats = counts.agg(F.count("*").alias("n"), F.avg("__len").alias("avg"), *(F.count_if(F.col(f"__tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))))
     hit = counts.filter(tree.test(lambda p: F.col(f"__tf{phrases.index(p)}") > 0)).crossJoin(F.broadcast(stats))
 
@@ -158,13 +166,13 @@ def scored(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: st
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("avg")))
 
     score = -reduce(lambda a, b: a + b, (part(k) for k in range(len(phrases))))
-    return hit.select(*chunks.columns, score.alias("bm25"))
+    return hit.select(*(c for c in chunks.columns if c != text_col), score.alias("bm25"))
 
 
 def search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, domain: str | None = None, id_col: str = "chunk_id", text_col: str = "search_text", domains_col: str = "domains") -> DataFrame:
     """(chunk_id, bm25) of the best matches, ties by id. A domain is normalized and compared with the stored values as
     they are; it filters rows after the statistics are taken."""
-    found = scored(chunks, query, id_col, text_col)
+    found = scored(chunks.select(id_col, text_col, *([domains_col] if domain else [])), query, text_col)
     if domain:
         found = found.filter(F.array_contains(domains_col, " ".join(domain.split()).lower()))
     return found.select(F.col(id_col).alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(limited(limit))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +50,27 @@ def bound_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
     now = int(spark.conf.get(key, str(2**31 - 2)).rstrip("b") or 0)
     if now > size:
         spark.conf.set(key, str(size))
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system: workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
