@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches
+from millrace.runtime import bound_batches, releasing
 
 SPACE = "▁"
-#: Entries of a worker's cache of encoded segments, and left pieces of its cache of pair tests; each starts anew when full.
-CACHE, PAIRS = 500_000, 50_000
+#: Entries of each of the two generations of a worker's cache of encoded segments, and left pieces of its cache of pair
+#: tests, which starts anew when full.
+CACHE, PAIRS = 120_000, 50_000
 #: Segments up to this length are cached; the search looks for a common boundary each so many characters.
 LONGEST, COMMIT_EVERY = 64, 64
 
@@ -92,6 +93,7 @@ class Vocabulary:
 class Codec:
     vocabulary: Vocabulary
     cache: dict[str, bytes] = field(default_factory=dict)
+    old: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
     splits: dict[str, tuple[str, str] | None] = field(default_factory=dict)
 
@@ -221,10 +223,11 @@ class Codec:
         return out[::-1]
 
     def packed(self, segment: str) -> bytes:
-        found = b"".join(np.array(ids, "<i4").tobytes() for ids in self.search(segment))
+        """Ids of a segment that the young generation lacks; a full young generation takes the old one's place."""
+        found = self.old.get(segment) or b"".join(np.array(ids, "<i4").tobytes() for ids in self.search(segment))
         if len(segment) <= LONGEST:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
             self.cache[segment] = found
         return found
 
@@ -233,8 +236,8 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 4-byte integers."""
-        cache, packed = self.cache, self.packed
-        return b"".join([cache.get(s) or packed(s) for s in self.segments(self.prepared(text))])
+        packed = self.packed
+        return b"".join([self.cache.get(s) or packed(s) for s in self.segments(self.prepared(text))])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, spaces unescaped, byte pieces read as UTF-8, the dummy prefix removed."""
@@ -275,7 +278,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "ids"])
 
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", ids array<int>"
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, ids_col)
+    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns, ids_col)
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +306,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return rows.mapInArrow(releasing(run), f"id {kind}, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -321,4 +324,4 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", text string"
-    return rows.toDF(*names).mapInArrow(run, schema).toDF(*rows.columns, text_col)
+    return rows.toDF(*names).mapInArrow(releasing(run), schema).toDF(*rows.columns, text_col)
