@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.simhash import least_labels
 from millrace.operators.components import connected_components
-from millrace.runtime import bound_batches, materialize
+from millrace.runtime import bound_batches, materialize, releasing
 
 #: Rows of the sample that the principal directions are fitted on: its bound. They only steer the order, never the result.
 SAMPLE = 8192
@@ -78,7 +78,7 @@ def blocks(vectors: DataFrame, turn: Broadcast, radius: float, block: int = BLOC
     columns = ["vector", "label", "h1", "h2", "copies", "least"]
     kinds = {n: t for n, t in vectors.dtypes}
     schema = "cell bigint, lead array<double>, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
-    ordered = vectors.select(*columns).mapInArrow(order, schema).withColumn("dim", F.size("vector"))
+    ordered = vectors.select(*columns).mapInArrow(releasing(order), schema).withColumn("dim", F.size("vector"))
     dealt = ordered.repartitionByRange("label", "dim", "cell", "h1", "h2").sortWithinPartitions("label", "dim", "cell", "h1", "h2")
     out = f"block bigint, label {kinds['label']}, dim int, low array<double>, high array<double>, vectors binary, h1 array<bigint>, h2 array<int>, copies array<bigint>, least array<{kinds['least']}>"
 
@@ -110,7 +110,7 @@ def blocks(vectors: DataFrame, turn: Broadcast, radius: float, block: int = BLOC
         if held:
             yield flush()
 
-    return materialize(dealt.mapInArrow(pack, out), "blocks")
+    return materialize(dealt.mapInArrow(releasing(pack), out), "blocks")
 
 
 def block_pairs(packed: DataFrame, radius: float) -> DataFrame:
@@ -197,7 +197,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     if block > 2048:
         raise ValueError("a block holds 2048 vectors at most")
-    found = materialize(work.mapInArrow(link, "node bigint, head bigint, n bigint"), "links")
+    found = materialize(work.mapInArrow(releasing(link), "node bigint, head bigint, n bigint"), "links")
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected_components(found, "node", "head").select("node", F.col("component").alias("root"))
     nodes = packed.select("block", "label", F.explode(F.arrays_zip("h1", "h2", "copies", "least", F.sequence(F.lit(0), F.size("h1") - 1).alias("at"))).alias("v"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches
+from millrace.runtime import bound_batches, releasing
 
 #: Characters of the longest n-gram; a key packs that many 16-bit code units into 64 bits.
 ORDER = 4
@@ -260,7 +260,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.filter(F.col("h") < limit(learn)).select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.filter(F.col("h") < limit(learn)).select("lang", "text").mapInArrow(releasing(count), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     table = counted.toArrow()
     for lang, word, n in zip(table["lang"].to_pylist(), table["word"].to_pylist(), table["n"].to_pylist(), strict=True):
@@ -304,7 +304,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean")
+    return rows.mapInArrow(releasing(run), f"id {kind}, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -320,4 +320,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     names = [f"c{k}" for k in range(len(docs.columns))]
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches
+from millrace.runtime import bound_batches, releasing
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -244,7 +244,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         keys = ["\x00".join(map(str, k)) for k in found]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
 
-    table = sample.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    table = sample.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
     counts: Counter = Counter()
     for row in table:
         name, *rest = row["key"].split("\x00")
@@ -281,7 +281,7 @@ def find(docs: DataFrame, potentials: Potentials, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return rows.mapInArrow(releasing(run), f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -314,4 +314,4 @@ def redact(docs: DataFrame, potentials: Potentials, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"{n} {'string' if k == where else t}" for k, (n, t) in enumerate(zip(names, (t for _, t in docs.dtypes), strict=True)))
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
-from millrace.runtime import bound_batches, materialize
+from millrace.runtime import bound_batches, materialize, releasing
 
 SEED = 42
 #: The 64 bits are cut into this many pieces; fingerprints within 4 bits agree on two of six pieces at least.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(run), f"id {kind}, fingerprint bigint")
 
 
 def bit_planes(marks: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def links(marks: DataFrame, radius: int = 4, pieces: int = PIECES, slice_rows: i
             a, b = link_sorted(np.cumsum(new[:end]), whole.column(3).to_numpy()[:end].view("<u8"), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["src", "dst"])
 
-    return ordered.mapInArrow(run, "src bigint, dst bigint").distinct()
+    return ordered.mapInArrow(releasing(run), "src bigint, dst bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, pieces: int = PIECES, slice_rows: int = SLICE) -> DataFrame:

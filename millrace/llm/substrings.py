@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches, materialize
+from millrace.runtime import bound_batches, materialize, releasing
 
 WINDOW = 20
 #: Bits of the filter of recurring anchors, 32 MB: its proven bound. A fuller filter passes more segments, never fewer.
@@ -119,7 +119,7 @@ def anchor_counts(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             found, n = np.unique(Batch(batch.column(0), window).places, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view("<i8")), pa.array(n.astype("<i8"))], names=["ah", "n"])
 
-    return texts.mapInArrow(run, "ah bigint, n bigint").groupBy("ah").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(releasing(run), "ah bigint, n bigint").groupBy("ah").agg(F.sum("n").alias("n"))
 
 
 def recurring_filter(counts: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -162,7 +162,7 @@ def segments(rows: DataFrame, bitmap, hot, window: int = WINDOW, salts: int = SA
             yield pa.RecordBatch.from_arrays(arrays, names=["ah", "salt", "did", "th", "start", "n", "words"])
 
     kind = rows.schema["did"].dataType.simpleString()
-    return rows.mapInArrow(run, f"ah bigint, salt int, did {kind}, th bigint, start bigint, n int, words binary")
+    return rows.mapInArrow(releasing(run), f"ah bigint, salt int, did {kind}, th bigint, start bigint, n int, words binary")
 
 
 Row = tuple[int, object, int, int, int, str]  # salt, did, th, start, n, words
@@ -303,7 +303,7 @@ def later_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
         if groups:
             yield from flush(False)
 
-    return dealt.mapInArrow(run, f"kind int, ah bigint, did {kind}, th bigint, start bigint, n int, words binary")
+    return dealt.mapInArrow(releasing(run), f"kind int, ah bigint, did {kind}, th bigint, start bigint, n int, words binary")
 
 
 def kept_words(raw: bytes, runs: Iterable[tuple[int, int]], window: int) -> tuple[list[bytes], list[bytes]]:
@@ -357,7 +357,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(texts, pa.string())] if with_text else [])], names=["id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
-    return joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    return joined.mapInArrow(releasing(run), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches
+from millrace.runtime import bound_batches, releasing
 
 #: Entries of the broadcast table of frequent pre-tokens: its proven bound.
 TABLE = 32768
@@ -109,10 +109,10 @@ def frequent(texts: DataFrame, size: int = SKETCH) -> list[str]:
         yield sketch.batch()
 
     schema = "items string, counts binary"
-    sketches, parts = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    sketches, parts = texts.mapInArrow(releasing(count), schema), texts.rdd.getNumPartitions()
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        sketches = sketches.repartition(parts).mapInArrow(merge, schema)
+        sketches = sketches.repartition(parts).mapInArrow(releasing(merge), schema)
     total = Sketch(TABLE)
     for row in sketches.collect():
         total.merge(row["items"], bytes(row["counts"]))
@@ -183,5 +183,5 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
-    counted = rows.select("id", size, "text").mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = rows.select("id", size, "text").mapInArrow(releasing(run), f"id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
