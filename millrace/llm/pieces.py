@@ -165,42 +165,65 @@ class Codec:
 
         The automaton of all pieces gives those that end at each boundary, longest first. In a unigram model a boundary
         takes the best sum of scores; in a BPE model a piece is admitted only after a piece that merges would leave
-        beside it, and exactly one path reaches each boundary, so the first admitted piece is taken. Live boundaries
-        lie within the longest piece of the front; when their backpointers meet in one boundary, the ids before it are
-        committed and forgotten.
+        beside it, and exactly one path reaches each boundary, so the first admitted piece is taken. A character that
+        no piece covers stands for itself. Live boundaries lie within the longest piece of the front; when their
+        backpointers meet in one boundary, the ids before it are committed and forgotten.
         """
-        bpe, scores, pairs = self.vocabulary.bpe, self.vocabulary.scores, self.pairs
+        return self._admitted(text) if self.vocabulary.bpe else self._best(text)
+
+    def _after(self, left: str) -> dict[str, bool]:
+        """What is known about pieces after this one."""
+        if (found := self.pairs.get(left)) is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[left] = {}
+        return found
+
+    def _admitted(self, text: str) -> Iterator[list[int]]:
+        base, done, starts, last, after = 0, 0, [0], [""], [self._after("")]
+
+        def take(start: int, piece: str) -> None:
+            nonlocal done
+            done += 1
+            starts.append(start)
+            last.append(piece)
+            after.append(self._after(piece))
+
+        for end, (size, _, piece) in self.machine.iter(text):
+            if end < done:
+                continue
+            while done < end:
+                take(done, text[done])
+            k = end + 1 - size - base
+            ok = after[k].get(piece)
+            if ok is None:
+                ok = after[k][piece] = self.follows(last[k], piece)
+            if not ok:
+                continue
+            take(end + 1 - size, piece)
+            if done - base > 2 * COMMIT_EVERY and (meet := self._meeting(starts, base, done)) > base:
+                yield self._path(starts, last, base, meet)
+                starts, last, after, base = starts[meet - base :], last[meet - base :], after[meet - base :], meet
+        while done < len(text):
+            take(done, text[done])
+        yield self._path(starts, last, base, done)
+
+    def _best(self, text: str) -> Iterator[list[int]]:
+        scores = self.vocabulary.scores
         base, starts, last, best = 0, [0], [""], [0.0]
         matches = self.machine.iter(text)
         end, found = next(matches, (-1, None))
         for j in range(1, len(text) + 1):
-            chosen, top, some = "", -np.inf, False
+            start, chosen, top = j - 1, text[j - 1], best[-1] + self.floor
             while end == j - 1:
                 size, number, piece = found
-                if not bpe:
-                    some |= size == 1
-                    if (total := best[j - size - base] + scores[number]) > top:
-                        chosen, top = piece, total
-                elif not chosen:
-                    left = last[j - size - base]
-                    known = pairs.get(left)
-                    if known is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        known = pairs[left] = {}
-                    ok = known.get(piece)
-                    if ok is None:
-                        ok = known[piece] = self.follows(left, piece)
-                    if ok:
-                        chosen = piece
+                if (total := best[j - size - base] + scores[number]) > top:
+                    start, chosen, top = j - size, piece, total
                 end, found = next(matches, (-1, None))
-            if not chosen or not (bpe or some):
-                if (total := best[-1] + self.floor) > top or not chosen:
-                    chosen, top = text[j - 1], total
-            starts.append(j - len(chosen))
+            starts.append(start)
             last.append(chosen)
             best.append(top)
-            if j % COMMIT_EVERY == 0 and (meet := self._meeting(starts, base, j)) > base:
+            if j - base > 2 * COMMIT_EVERY and (meet := self._meeting(starts, base, j)) > base:
                 yield self._path(starts, last, base, meet)
                 starts, last, best, base = starts[meet - base :], last[meet - base :], best[meet - base :], meet
         yield self._path(starts, last, base, len(text))
