@@ -20,8 +20,8 @@ from millrace.runtime import bound_batches, releasing
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field's potentials are counted on: the bound of the sample, those of lowest hash.
 TRAIN_DOCS = 20_000
-#: Rounds and damping of message passing, and the largest change of a message at which it stops.
-ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
+#: Damping of message passing and the largest change of a message at which it has settled; ROUNDS only ends a cycle that never settles.
+ROUNDS, DAMPING, SETTLED = 2000, 0.5, 1e-4
 #: Mentions this near to one another, in characters, are neighbours in the chain.
 NEAR = 40
 #: Digits at the end of a number, and letters of a mail name, that make two mentions similar.
@@ -132,15 +132,29 @@ def mentions(text: str, spans: list[Span]) -> list[Mention]:
 
 
 def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip): neighbours in the text, and each mention with the next one like it, so both grow with the nodes."""
+    """(chain, skip): neighbours in the text; each mention with the next one like it, and each outside the base patterns
+    with the nearest base mention like it as well, so both grow with the nodes and no repeat hangs on the others alone."""
     chain = [(k, k + 1) for k in range(len(nodes) - 1) if nodes[k + 1].start - nodes[k].end <= NEAR]
-    skip, last = [], {}
+    skip, last, before, after, behind = {}, {}, {}, {}, {}
     for k, m in enumerate(nodes):
         if m.key:
             if m.key in last:
-                skip.append((last[m.key], k))
+                skip[last[m.key], k] = None
             last[m.key] = k
-    return chain, skip
+            if m.base >= 0:
+                before[m.key] = k
+            elif m.key in before:
+                behind[k] = before[m.key]
+    for k in range(len(nodes) - 1, -1, -1):
+        m = nodes[k]
+        if m.base >= 0:
+            after[m.key] = k
+        elif m.key:
+            near = [b for b in (behind.get(k), after.get(m.key)) if b is not None]
+            if near:
+                b = min(near, key=lambda b: max(m.start - nodes[b].end, nodes[b].start - m.end))
+                skip[min(b, k), max(b, k)] = None
+    return chain, list(skip)
 
 
 @dataclass
@@ -169,17 +183,17 @@ class Potentials:
         return Potentials({f: v - v[0] for f, v in feature.items()}, np.log(label / label[0]), np.clip(chain, -1, 1), skip)
 
     def unary(self, m: Mention) -> np.ndarray:
-        """A base mention keeps its label. The shape of another speaks against any label by half a unit at least, so
+        """A base mention keeps its label, however many like it speak against. The shape of another speaks against any label by half a unit at least, so
         only mentions like it can give it one."""
         if m.base >= 0:
-            return np.where(np.arange(len(KINDS) + 1) == m.base + 1, 0.0, -30.0)
+            return np.where(np.arange(len(KINDS) + 1) == m.base + 1, 0.0, -np.inf)
         score = np.clip(self.prior + sum((self.feature[f] for f in m.features if f in self.feature), np.zeros(len(self.prior))), -2.0, -0.5)
         score[0] = 0.0
         return score
 
 
 def propagate(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label posteriors by damped loopy sum-product; tables[k][a][b] is the log potential of pairs[k] = (a's node, b's)."""
+    """Label posteriors by damped loopy sum-product, run until the messages settle; tables[k][a][b] is the log potential of pairs[k] = (a's node, b's)."""
     if not len(pairs):
         belief = unary
     else:

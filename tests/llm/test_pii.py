@@ -46,6 +46,26 @@ def test_similar_mentions_take_the_label_and_others_do_not():
     assert pii.added_spans("555 123 4567 and 555 123 4567", [], potentials()) == []
 
 
+@pytest.mark.parametrize("repeats", [1, 5, 50, 500])
+@pytest.mark.parametrize(("skip", "unary"), [(8.0, -2.0), (3.0, -2.0), (3.4, -0.5)])
+@pytest.mark.parametrize("first", [True, False])
+def test_every_repeat_takes_the_label_of_one_base_mention(repeats, skip, unary, first):
+    field = pii.Potentials({}, np.array([0.0] + [unary] * 4), np.zeros((5, 5)), skip)
+    for base, bare, kind in [("+1 (555) 123-4567", "555 123 4567", 3), ("joan.doe7@mail.example", "joan.doe7", 0)]:
+        parts = [base] + [bare] * repeats if first else [bare] * repeats + [base]
+        text = (" " + "so it goes on, " * 4).join(parts)
+        more = pii.added_spans(text, pii.base_spans(text), field)
+        assert [(text[s:e], k) for s, k, e in more] == [(bare, kind)] * repeats
+        near = "; ".join(parts)
+        assert len(pii.added_spans(near, pii.base_spans(near), field)) == repeats
+
+
+def test_skip_edges_grow_with_the_nodes_and_reach_the_nearest_base_mention():
+    nodes = [pii.Mention(10 * k, 10 * k + 5, "a", 3 if k in (0, 7) else -1) for k in range(10)]
+    assert sorted(pii.edges_of(nodes)[1]) == sorted({(k, k + 1) for k in range(9)} | {(0, 2), (0, 3), (4, 7), (5, 7), (7, 9)})
+    assert len(pii.edges_of(nodes * 100)[1]) <= 2 * 1000
+
+
 def test_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(0)
     unary, pairs, tables = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]]), rng.normal(size=(3, 3, 3))
