@@ -18,8 +18,6 @@ from millrace.runtime import bound_batches, releasing
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field's potentials are counted on: the bound of the sample, those of lowest hash.
-TRAIN_DOCS = 20_000
 #: Damping of message passing and the largest change of a message at which it has settled; ROUNDS only ends a cycle that never settles.
 ROUNDS, DAMPING, SETTLED = 2000, 0.5, 1e-4
 #: Mentions this near to one another, in characters, are neighbours in the chain.
@@ -235,12 +233,10 @@ def added_spans(text: str, spans: list[Span], potentials: Potentials) -> list[Sp
     return [(m.start, int(best[k]) - 1, m.end) for k, m in enumerate(nodes) if m.base < 0 and best[k] and posterior[k, best[k]] > 0.5]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Potentials:
-    """Potentials counted on about train_docs documents at most, whole texts, those of lowest hash."""
+def train(docs: DataFrame, text_col: str = "text") -> Potentials:
+    """Potentials counted on all documents, whole texts; the driver gets the counts."""
     bound_batches(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull())
-    share = int(min(1.0, train_docs / max(1, rows.count())) * (1 << 40))
-    sample = rows.filter(F.pmod(F.xxhash64(id_col, F.lit(23)), F.lit(1 << 40)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -258,11 +254,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         keys = ["\x00".join(map(str, k)) for k in found]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
 
-    table = sample.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    table = rows.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts: Counter = Counter()
-    for row in table:
-        name, *rest = row["key"].split("\x00")
-        counts[(name, rest[0], int(rest[1])) if name == "f" else (name, *map(int, rest))] = row["n"]
+    for key, n in zip(table["key"].to_pylist(), table["n"].to_pylist(), strict=True):
+        name, *rest = key.split("\x00")
+        counts[(name, rest[0], int(rest[1])) if name == "f" else (name, *map(int, rest))] = n
     return Potentials.of(counts)
 
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import pii
 
@@ -86,3 +87,9 @@ def test_frames(spark):
     clean = pii.redact(df, potentials()).collect()
     assert [r["text"] for r in clean][:3] == [None, "", "mail <EMAIL>, again <EMAIL>"] and clean[2]["id"] == "a"
     assert pii.find(df.limit(0), pii.train(df.limit(0))).collect() == []
+
+
+def test_potentials_are_counted_on_every_document(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 7, "card 4111 1111 1111 1111").otherwise("ip 10.0.0.1").alias("text"))
+    field, n = pii.train(df), np.array([0, 0, 29_997, 3, 0]) + 1
+    assert np.allclose(field.prior, np.log(n / n[0]))
