@@ -22,8 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, DAMPING, SETTLED = 2000, 0.5, 1e-4
 #: Mentions this near to one another, in characters, are neighbours in the chain.
 NEAR = 40
-#: Digits at the end of a number, and letters of a mail name, that make two mentions similar.
-TAIL, NAME = 7, 5
+#: Digits at the end of a number that make two mentions similar; numbers and mail names of any length are alike if equal.
+TAIL = 7
 
 _ANY = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,7 +33,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9])++")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8})", re.IGNORECASE)
-_NAMES = re.compile(rf"[A-Za-z0-9._%+-]{{{NAME},64}}")
+_NAMES = re.compile(r"[A-Za-z0-9._%+-]+")
 _BEFORE = re.compile(r"([^\W\d_]+)\W*\Z")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -85,7 +85,7 @@ class Mention:
 
 
 def _key(value: str) -> str:
-    return value.lower() if "@" in value else (d[-TAIL:] if len(d := _digits(value)) >= TAIL else "")
+    return value.lower() if "@" in value else _digits(value)[-TAIL:]
 
 
 def _features(text: str, m: Mention) -> list[str]:
@@ -96,7 +96,11 @@ def _features(text: str, m: Mention) -> list[str]:
 
 
 def mentions(text: str, spans: list[Span]) -> list[Mention]:
-    """Nodes of a document's field in order: base spans, and numbers, spelt-out addresses and mail names outside them."""
+    """Nodes of a document's field in order: base spans, and numbers, spelt-out addresses and mail names outside them.
+
+    A number whose digits, or a name whose letters, equal those of a base span is always one. Other numbers need enough
+    digits to be similar to a base span by their end.
+    """
     out = [Mention(s, e, _key(text[s:e]), kind) for s, kind, e in spans]
     covered = sorted((s, e) for s, _, e in spans)
     starts, reach = [s for s, _ in covered], []
@@ -107,19 +111,25 @@ def mentions(text: str, spans: list[Span]) -> list[Mention]:
         k = bisect_right(starts, s)
         return (not k or reach[k - 1] <= s) and (k == len(starts) or starts[k] >= e)
 
+    names = {text[s:e].partition("@")[0].lower(): text[s:e].lower() for s, kind, e in spans if kind == 0}
+    if names:
+        for m in _NAMES.finditer(text):
+            # a run may end a sentence or stand between dashes
+            for name in (m[0], m[0].strip("._%+-")):
+                start = m.start() + m[0].find(name)
+                if (key := names.get(name.lower())) and free(start, start + len(name)):
+                    out.append(Mention(start, start + len(name), key))
+                    break
+    equal = {_digits(text[s:e]) for s, kind, e in spans if kind}
     for m in _NUMBER.finditer(text):
-        if m.end() - m.start() <= 48 and TAIL <= len(_digits(m[0])) <= 19 and free(m.start(), m.end()):
+        digits = _digits(m[0])
+        if (digits in equal or (m.end() - m.start() <= 48 and TAIL <= len(digits) <= 19)) and free(m.start(), m.end()):
             out.append(Mention(m.start(), m.end(), _key(m[0])))
-    names = {text[s:e].partition("@")[0].lower(): text[s:e].lower() for s, kind, e in spans if kind == 0 and text.find("@", s, e) - s >= NAME}
     if "at]" in (low := text.lower()) or "at)" in low or "at ]" in low or "at )" in low:
         for m in _SPELT.finditer(text):
             if free(m.start(), m.end()):
                 domain = re.sub(r" ?[\[(] ?dot ?[\])] ?", ".", m[2], flags=re.IGNORECASE)
                 out.append(Mention(m.start(), m.end(), f"{m[1]}@{domain}".lower()))
-    if names:
-        for m in _NAMES.finditer(text):
-            if (key := names.get(m[0].lower())) and free(m.start(), m.end()):
-                out.append(Mention(m.start(), m.end(), key))
     out.sort(key=lambda m: (m.start, m.base < 0, m.base, -m.end))
     kept: list[Mention] = []
     for m in out:

@@ -93,3 +93,24 @@ def test_potentials_are_counted_on_every_document(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 7, "card 4111 1111 1111 1111").otherwise("ip 10.0.0.1").alias("text"))
     field, n = pii.train(df), np.array([0, 0, 29_997, 3, 0]) + 1
     assert np.allclose(field.prior, np.log(n / n[0]))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("mail anna@host.example now; ask anna, Anna. Not annabel.", [("anna", 0), ("Anna", 0)]),
+    ("a@b.example, then a", [("a", 0)]),
+    ("host 10.0.0.1 is down; 10-0-0-1 and 10001 too, 10-0-0-2 is not", [("10-0-0-1", 1), ("10001", 1)]),
+    ("host 192.168.0.1 and then 192 168 0 1 and 8 0 1", [("192 168 0 1", 1)]),
+    ("card 4111 1111 1111 1111 or " + "  ".join("4111111111111111") + "  or  12", [("  ".join("4111111111111111"), 2)]),
+    ("mail 5551234@host.example or 5551234", [("5551234", 0)]),
+])
+def test_mentions_equal_to_a_base_span_have_no_length_floor(text, want):
+    found = pii.added_spans(text, pii.base_spans(text), potentials())
+    assert [(text[s:e], k) for s, k, e in sorted(found)] == want
+
+
+def test_long_numbers_equal_to_a_base_span_are_nodes():
+    loose = "- ".join("4111111111111111110")
+    ip = "0" * 20 + "10.0.0.1"
+    text = f"card 4111 1111 1111 1111 110, {loose}; host {ip}, {ip.replace('.', '-')}, {'9' * 20}"
+    nodes = pii.mentions(text, pii.base_spans(text))
+    assert [text[m.start : m.end] for m in nodes if m.base < 0] == [loose, ip.replace(".", "-")] and len(loose) > 48
