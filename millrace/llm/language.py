@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ ORDER = 4
 #: Documents that the models and the calibration learn from, for each language: the bound of the labelled sample.
 TRAIN_DOCS = 1500
 CALIBRATION_DOCS = 500
+#: Parts that the calibration texts of a language below that bound are left out of its training in.
+FOLDS = 4
 #: Bits a character by which a text may exceed the worst calibration text of its length before it is rejected.
 MARGIN = 0.5
 #: Entries of a worker's cache of word scores; it starts anew when full.
@@ -165,19 +168,27 @@ def bucket(chars: np.ndarray) -> np.ndarray:
     return np.clip(np.log2(np.maximum(chars, 1)).astype(int), 0, 63)
 
 
-def calibrate(model: Model, samples: list[tuple[str, str]], margin: float = MARGIN) -> None:
+def calibrate(model: Model, samples: list[tuple[str, str]], margin: float = MARGIN, apart: Sequence[tuple[Model, list[tuple[str, str]]]] = ()) -> None:
     """Set the rejection ceilings and the sharpness of scores from held-apart labelled texts.
 
-    The ceiling of a length is the highest cross-entropy of any calibration text at least that long, plus the margin:
-    a text is rejected only if every model codes it worse than any labelled text of its size was coded.
+    samples are held apart from model itself; apart holds further ones, each list with the model that has not learned
+    them. The ceiling of a length is the highest cross-entropy of any calibration text at least that long, plus the
+    margin: a text is rejected only if every model codes it worse than any labelled text of its size was coded. A text
+    whose language its model lacks tells nothing.
     """
-    scorer, costs, chars, truth = Scorer(model), [], [], []
-    for lang, text in samples:
-        bits, n = scorer.entropy(text)
-        if n:
-            costs.append(bits)
-            chars.append(n)
-            truth.append(model.langs.index(lang))
+    costs, chars, truth = [], [], []
+    for fitted, texts in [(model, samples), *apart]:
+        scorer, columns = Scorer(fitted), [model.langs.index(k) for k in fitted.langs]
+        for lang, text in texts:
+            if lang not in fitted.langs:
+                continue
+            bits, n = scorer.entropy(text)
+            if n:
+                wide = np.full(len(model.langs), np.inf)
+                wide[columns] = bits
+                costs.append(wide)
+                chars.append(n)
+                truth.append(model.langs.index(lang))
     if not costs:
         return
     costs, truth = np.array(costs), np.array(truth)
@@ -242,14 +253,19 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Models for all non-null languages of labelled, from a bounded sample of its rows.
 
     For each language at most about train_docs + calibration_docs rows are used, those with the lowest hash of their
-    id, whole. Words of the training rows are counted by language on the executors; the driver gets those counts.
+    id, whole. Words of the training rows are counted by language on the executors; the driver gets those counts. A
+    language with no more rows than that is learned from all of them, and calibrated by models that leave out a part of
+    its calibration rows, each row in one of FOLDS parts (single rows when there are few).
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 40)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         raise ValueError("no labelled text to learn from")
-    share = lambda docs, most: {k: int(min(most, docs / n) * (1 << 40)) for k, n in sizes.items()}
-    learn, whole = share(train_docs, 0.75), share(train_docs + calibration_docs, 1.0)
+    small = {k for k, n in sizes.items() if n <= train_docs + calibration_docs}
+    share = lambda docs: {k: int(min(1.0, docs / n) * (1 << 40)) for k, n in sizes.items()}
+    learn = share(train_docs) | dict.fromkeys(small, 1 << 40)
+    first = learn | dict.fromkeys(small, 0)
+    last = share(train_docs + calibration_docs) | {k: v for k, v in share(calibration_docs).items() if k in small}
     limit = lambda t: F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in t.items()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +284,23 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not counts:
         raise ValueError("no labelled text to learn from")
     model = fit({k: dict(sorted(v.items())) for k, v in counts.items()})
-    kept = rows.filter((F.col("h") >= limit(learn)) & (F.col("h") < limit(whole)) & F.col("lang").isin(model.langs)).select("lang", "text", "h").toArrow()
+    kept = rows.filter((F.col("h") >= limit(first)) & (F.col("h") < limit(last)) & F.col("lang").isin(model.langs)).select("lang", "text", "h").toArrow()
     samples = sorted(zip(kept["h"].to_pylist(), kept["lang"].to_pylist(), kept["text"].to_pylist(), strict=True))
-    calibrate(model, [(lang, text) for _, lang, text in samples])
+    folds: list[list[tuple[str, str]]] = [[] for _ in range(FOLDS)]
+    place: Counter = Counter()
+    for _, lang, text in samples:
+        if lang in small:
+            folds[place[lang] % FOLDS].append((lang, text))
+            place[lang] += 1
+    apart = []
+    for fold in filter(None, folds):
+        held: dict[str, Counter] = {}
+        for lang, text in fold:
+            held.setdefault(lang, Counter()).update(words_of(text))
+        rest = {k: {w: n - held[k][w] for w, n in sorted(v.items()) if n > held[k][w]} if k in held else dict(sorted(v.items())) for k, v in counts.items()}
+        if rest := {k: v for k, v in rest.items() if v}:
+            apart.append((fit(rest), fold))
+    calibrate(model, [(lang, text) for _, lang, text in samples if lang not in small], apart=apart)
     return model
 
 

@@ -88,3 +88,29 @@ def test_scorer_cache_begins_anew(monkeypatch):
     monkeypatch.setattr(language, "CACHE", 100)
     got = language.Scorer(model).entropies(texts)
     assert np.allclose(got[0], want[0]) and (got[1] == want[1]).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_every_labelled_language_is_learned(spark, n):
+    small = {f"l{k:02d}": chr(0x3B1 + k) + chr(0x3B2 + k) for k in range(16)}
+    rows = [(lang, " ".join([w * 2, w * 3, w] * 20)) for lang, w in small.items() for _ in range(n)]
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate([*rows, *corpora(n=20)])], "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.langs == sorted({*small, "aa", "bb", "cc"})
+    got = language.predict(df, model).collect()
+    assert [r["lang_pred"] for r in got[: len(rows)]] == [lang for lang, _ in rows] and not any(r["rejected"] for r in got[: len(rows)])
+
+
+def test_a_single_labelled_document_is_enough(spark):
+    for k in range(12):
+        model = language.train(spark.createDataFrame([(k, "la ou que", "aa")], "doc_id long, text string, lang string"))
+        assert model.langs == ["aa"]
+
+
+def test_languages_on_both_sides_of_the_bound(spark):
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(corpora(n=400)) if lang != "cc" or k < 30]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=150, calibration_docs=50)
+    test = corpora(5, 40)
+    got = language.predict(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(test)], "doc_id long, text string"), model).collect()
+    assert sum(r["lang_pred"] == lang for r, (lang, _) in zip(got, test, strict=True)) >= 0.95 * len(test)
+    assert np.isfinite(model.ceilings).all() and not any(r["rejected"] for r in got)
