@@ -32,8 +32,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [w for w in _WORD.findall(text.lower()) if w.isalpha()] if text else []
+    """Lower-cased runs of letters; superscripts, fractions and other numerals that the pattern admits part them."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

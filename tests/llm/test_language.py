@@ -114,3 +114,17 @@ def test_languages_on_both_sides_of_the_bound(spark):
     got = language.predict(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(test)], "doc_id long, text string"), model).collect()
     assert sum(r["lang_pred"] == lang for r, (lang, _) in zip(got, test, strict=True)) >= 0.95 * len(test)
     assert np.isfinite(model.ceilings).all() and not any(r["rejected"] for r in got)
+
+
+def test_numerals_part_words_and_drop_no_letter():
+    assert language.words_of("km² CO₂ x²y ½a ² 12") == ["km", "co", "x", "y", "a"]
+    assert language.words_of("²½ 1") == [] == language.words_of(None)
+    every = "".join(map(chr, range(0x110000)))
+    assert "".join(language.words_of(every)) == "".join(c for c in every.lower() if c.isalpha())
+
+
+def test_a_text_of_words_with_numerals_has_a_language(spark):
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(corpora())]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame([(1, "schung² einung₂ schein³ "), (2, "²½")], "doc_id long, text string"), model).collect()
+    assert [(r["lang_pred"], r["score"] > 0, r["rejected"]) for r in got] == [("bb", True, False), ("und", False, True)]
