@@ -37,6 +37,12 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of each text, the digest of what they decode to, and whether that is the text again."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), checked=True)
+
+
+#: Each stage alone; run() ends with coded, which is the last one and its decoding.
 STAGES = [
     ("language", known_languages),
     ("near-duplicates", one_of_each),
@@ -51,8 +57,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return coded(spark, docs, sf_dir)

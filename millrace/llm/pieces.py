@@ -278,14 +278,21 @@ def _codec(shared) -> Codec:
     return found
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _returned(codec: Codec, text: str, ids: bytes) -> tuple[str, bool]:
+    """The digest of what ids decode to, and whether that is the text with U+2581 read as a space."""
+    back = codec.decode(ids)
+    return hashlib.sha256(back.encode()).hexdigest(), back == text.replace(SPACE, " ")
+
+
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", checked: bool = False) -> DataFrame:
     """docs with a column of the text's ids, as the library gives them without begin and end ids.
 
-    A null or empty text gets an empty array. Rows are independent; an empty table gives no rows. ids_col must not be
-    a column of docs.
+    With checked, decoded_sha256 and round_trip follow, as in digests. A null or empty text gets an empty array. Rows
+    are independent; an empty table gives no rows. No added column may be one of docs.
     """
-    if ids_col in docs.columns:
-        raise ValueError(f"docs already has a column {ids_col}")
+    added = [ids_col, *(["decoded_sha256", "round_trip"] if checked else [])]
+    if taken := [c for c in added if c in docs.columns]:
+        raise ValueError(f"docs already has a column {taken[0]}")
     spark = docs.sparkSession
     bound_batches(spark)
     shared, where = spark.sparkContext.broadcast(Vocabulary.read(model_file)), docs.columns.index(text_col)
@@ -295,13 +302,22 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            found = [codec.encode(t or "") for t in batch.column(where).to_pylist()]
+            texts = [t or "" for t in batch.column(where).to_pylist()]
+            found = [codec.encode(t) for t in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype="<i4")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "ids"])
+            more = []
+            if checked:
+                of_text, same = [], []
+                for text, packed in zip(texts, found, strict=True):
+                    digest, back = _returned(codec, text, packed)
+                    of_text.append(digest)
+                    same.append(back)
+                more = [pa.array(of_text, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, *more], names=[*names, "ids", "decoded_sha256", "round_trip"][: len(names) + len(added)])
 
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", ids array<int>"
-    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns, ids_col)
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", ids array<int>" + (", decoded_sha256 string, round_trip boolean" if checked else "")
+    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns, *added)
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,11 +336,11 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
             n, of_ids, of_text, same = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = codec.encode(text or "")
-                back = codec.decode(ids)
+                digest, back = _returned(codec, text or "", ids)
                 n.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == (text or "").replace(SPACE, " "))
+                of_text.append(digest)
+                same.append(back)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), pa.array(same, pa.bool_())], names=["id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()

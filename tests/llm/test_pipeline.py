@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -34,3 +35,15 @@ def test_one_row_of_a_document_stays(spark):
     got = simhash.keep_one(df, words=4)
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == [(1, "a b c d e"), (2, None), (None, "other words here now")]
+
+
+def test_the_pipeline_decodes_what_it_encodes(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.columns == [*spark.read.parquet(f"{sf}/documents.parquet").columns, "ids", "decoded_sha256", "round_trip"]
+    codec = pieces.Codec(pieces.Vocabulary.read(MODEL))
+    got = rows.collect()
+    assert got and all(r["round_trip"] for r in got)
+    for r in got:
+        back = codec.decode(pieces.np.array(r["ids"], "<i4").tobytes())
+        assert back == (r["text"] or "").replace(pieces.SPACE, " ") and r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
