@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,11 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one that becomes it."""
+    """The folder named by spark.checkpoint.dir; where unset on a local master (tests), a temporary one that becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -44,6 +47,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or back-ticks, for select and col."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bound_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
     """Hold Arrow batches to `size` bytes, so that a run of very long texts cannot fill a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
