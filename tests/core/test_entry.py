@@ -1,3 +1,4 @@
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -18,6 +19,6 @@ def test_every_oracle_has_a_query():
 def test_imports_without_the_training_data_parts(tmp_path):
     for name in ("millrace", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "millrace/llm")], check=True)
+    shutil.rmtree(tmp_path / "millrace/llm", ignore_errors=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(any(n.startswith('op') for n in e.queries()), len(e.queries()) > 30)"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}, check=True)
     assert said.stdout.split() == ["False", "True"]
