@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -15,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches, releasing
+from millrace.runtime import bound_batches, quoted, releasing
 
 SPACE = "▁"
-#: Entries of each of the two generations of a worker's cache of encoded segments, and left pieces of its cache of pair
-#: tests, which starts anew when full.
-CACHE, PAIRS = 120_000, 50_000
-#: Segments up to this length are cached; the search looks for a common boundary each so many characters.
-LONGEST, COMMIT_EVERY = 64, 64
+#: Bytes of each of the two generations of a worker's cache of encoded segments, as estimated by their sizes, and pair
+#: tests that a worker keeps; those start anew when full.
+CACHE_BYTES, PAIRS = 48 << 20, 1_000_000
+#: Segments up to this length are cached; the search looks for a common boundary each so many characters; a text is
+#: encoded in blocks of at least BLOCK characters, which end where no piece can go on.
+LONGEST, COMMIT_EVERY, BLOCK = 64, 64, 1 << 16
 
 # Piece types and model types of the public model file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -94,7 +96,9 @@ class Codec:
     vocabulary: Vocabulary
     cache: dict[str, bytes] = field(default_factory=dict)
     old: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    held: int = 0
+    rows: dict[str, dict] = field(default_factory=dict)
+    tested: int = 0
     splits: dict[str, tuple[str, str] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -106,15 +110,18 @@ class Codec:
         self.ranks = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-v.scores[self.ids[p]], self.ids[p])))}
         self.machine = ahocorasick.Automaton()
         for piece, number in self.ids.items():
-            self.machine.add_word(piece, (len(piece), number, piece))
+            if len(piece) > 1 or not v.bpe:  # what merges leave at a boundary where no longer piece is admitted is one character
+                self.machine.add_word(piece, (len(piece) - 1, number))
         self.machine.make_automaton()
+        self.matches = self.machine.iter if len(self.machine) else lambda text: iter(())
+        self.single: dict[str, tuple[int, dict]] = {}
         self.floor = min(v.scores[k] for k in self.ids.values()) - 10.0
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, kind in zip(v.pieces, v.kinds, strict=True)]
         joined = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         inside = f"[{re.escape(joined)}]" if joined else "(?!)"
         # Every path has a boundary before a run of spaces and beside a character that no longer piece holds.
-        self.segments = re.compile(f"{SPACE}*{inside}+|{SPACE}+|[^{re.escape(joined)}{SPACE}]" if not inner else r"(?s:.+)").findall
+        self.segments = re.compile(f"{SPACE}*{inside}+|{SPACE}+|[^{re.escape(joined)}{SPACE}]" if not self.inner else r"(?s:.+)").findall
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short text by byte-pair merges, the best-scored, then leftmost, adjacent pair first; and the last merge."""
@@ -160,73 +167,88 @@ class Codec:
                 limit, right = b + 0.5, self.split(right)[0]
         return True
 
-    def search(self, text: str) -> Iterator[list[int]]:
-        """Ids of a text in order, as soon as they are certain.
+    def search(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text in order, as soon as they are certain.
 
         The automaton of all pieces gives those that end at each boundary, longest first. In a unigram model a boundary
         takes the best sum of scores; in a BPE model a piece is admitted only after a piece that merges would leave
-        beside it, and exactly one path reaches each boundary, so the first admitted piece is taken. A character that
-        no piece covers stands for itself. Live boundaries lie within the longest piece of the front; when their
+        beside it, and exactly one path reaches each boundary, so the first admitted piece is taken, or else the last
+        character, whether it is a piece or stands for itself. Live boundaries lie within the longest piece of the front; when their
         backpointers meet in one boundary, the ids before it are committed and forgotten.
         """
         return self._admitted(text) if self.vocabulary.bpe else self._best(text)
 
-    def _after(self, left: str) -> dict[str, bool]:
-        """What is known about pieces after this one."""
-        if (found := self.pairs.get(left)) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left] = {}
+    def _row(self, piece: str) -> dict:
+        """What is known about pieces after this one: by id the row of that piece, or False where it is refused."""
+        if (found := self.rows.get(piece)) is None:
+            found = self.rows[piece] = {-1: piece}
         return found
 
-    def _admitted(self, text: str) -> Iterator[list[int]]:
-        base, done, starts, last, after = 0, 0, [0], [""], [self._after("")]
+    def _test(self, row: dict, number: int) -> dict | bool:
+        """The row of the piece of this id where it is admitted after the row's piece, else False."""
+        piece = self.vocabulary.pieces[number]
+        if self.tested >= PAIRS:
+            self.rows, self.single, self.tested = {}, {}, 0
+        self.tested += 1
+        found = row[number] = self._row(piece) if self.follows(row[-1], piece) else False
+        return found
 
-        def take(start: int, piece: str) -> None:
-            nonlocal done
-            done += 1
-            starts.append(start)
-            last.append(piece)
-            after.append(self._after(piece))
+    def _one(self, char: str) -> tuple[int, dict]:
+        """Code and row of a single character; the code of one without a piece is -1 less its code point."""
+        if (found := self.single.get(char)) is None:
+            found = self.single[char] = self.ids.get(char, -1 - ord(char)), self._row(char)
+        return found
 
-        for end, (size, _, piece) in self.machine.iter(text):
+    def _admitted(self, text: str) -> Iterator[bytes]:
+        base, done, starts, codes, rows, single = 0, 0, [0], [0], [self._row("")], self.single
+        for end, (back, number) in self.matches(text):
             if end < done:
                 continue
             while done < end:
-                take(done, text[done])
-            k = end + 1 - size - base
-            ok = after[k].get(piece)
-            if ok is None:
-                ok = after[k][piece] = self.follows(last[k], piece)
-            if not ok:
+                starts.append(done)
+                code, row = single.get(text[done]) or self._one(text[done])
+                codes.append(code)
+                rows.append(row)
+                done += 1
+            start = end - back
+            row = rows[start - base]
+            after = row.get(number)
+            if after is None:
+                after = self._test(row, number)
+            if after is False:
                 continue
-            take(end + 1 - size, piece)
+            starts.append(start)
+            codes.append(number)
+            rows.append(after)
+            done += 1
             if done - base > 2 * COMMIT_EVERY and (meet := self._meeting(starts, base, done)) > base:
-                yield self._path(starts, last, base, meet)
-                starts, last, after, base = starts[meet - base :], last[meet - base :], after[meet - base :], meet
+                yield self._path(starts, codes, base, meet)
+                starts, codes, rows, base = starts[meet - base :], codes[meet - base :], rows[meet - base :], meet
         while done < len(text):
-            take(done, text[done])
-        yield self._path(starts, last, base, done)
+            starts.append(done)
+            codes.append(self._one(text[done])[0])
+            done += 1
+        yield self._path(starts, codes, base, done)
 
-    def _best(self, text: str) -> Iterator[list[int]]:
+    def _best(self, text: str) -> Iterator[bytes]:
         scores = self.vocabulary.scores
-        base, starts, last, best = 0, [0], [""], [0.0]
-        matches = self.machine.iter(text)
+        base, starts, codes, best = 0, [0], [0], [0.0]
+        matches = self.matches(text)
         end, found = next(matches, (-1, None))
         for j in range(1, len(text) + 1):
-            start, chosen, top = j - 1, text[j - 1], best[-1] + self.floor
+            start, chosen, top = j - 1, -1 - ord(text[j - 1]), best[-1] + self.floor
             while end == j - 1:
-                size, number, piece = found
-                if (total := best[j - size - base] + scores[number]) > top:
-                    start, chosen, top = j - size, piece, total
+                back, number = found
+                if (total := best[end - back - base] + scores[number]) > top:
+                    start, chosen, top = end - back, number, total
                 end, found = next(matches, (-1, None))
             starts.append(start)
-            last.append(chosen)
+            codes.append(chosen)
             best.append(top)
             if j - base > 2 * COMMIT_EVERY and (meet := self._meeting(starts, base, j)) > base:
-                yield self._path(starts, last, base, meet)
-                starts, last, best, base = starts[meet - base :], last[meet - base :], best[meet - base :], meet
-        yield self._path(starts, last, base, len(text))
+                yield self._path(starts, codes, base, meet)
+                starts, codes, best, base = starts[meet - base :], codes[meet - base :], best[meet - base :], meet
+        yield self._path(starts, codes, base, len(text))
 
     def _meeting(self, starts: list[int], base: int, front: int) -> int:
         """The boundary in which all paths to the boundaries within the longest piece of the front meet."""
@@ -237,35 +259,69 @@ class Codec:
             live.add(starts[top - base])
         return live.pop()
 
-    def _path(self, starts: list[int], last: list[str], base: int, end: int) -> list[int]:
+    def _path(self, starts: list[int], codes: list[int], base: int, end: int) -> bytes:
+        """Ids between two boundaries; the code of a character without a piece is -1 less its code point."""
         out: list[int] = []
         while end > base:
-            piece, end = last[end - base], starts[end - base]
-            number = self.ids.get(piece)
-            out += [number] if number is not None else [self.bytes.get(b, self.unknown) for b in reversed(piece.encode())] if self.bytes else [self.unknown]
-        return out[::-1]
+            code = codes[end - base]
+            end = starts[end - base]
+            if code >= 0:
+                out.append(code)
+            else:
+                out += [self.bytes.get(b, self.unknown) for b in reversed(chr(-1 - code).encode())] if self.bytes else [self.unknown]
+        out.reverse()
+        return array("i", out).tobytes()
 
     def packed(self, segment: str) -> bytes:
         """Ids of a segment that the young generation lacks; a full young generation takes the old one's place."""
-        found = self.old.get(segment) or b"".join(np.array(ids, "<i4").tobytes() for ids in self.search(segment))
+        found = self.old.get(segment) or b"".join(self.search(segment))
         if len(segment) <= LONGEST:
-            if len(self.cache) >= CACHE:
-                self.old, self.cache = self.cache, {}
+            self.held += 200 + len(segment) + len(found)
+            if self.held > CACHE_BYTES:
+                self.old, self.cache, self.held = self.cache, {}, 0
             self.cache[segment] = found
         return found
 
     def prepared(self, text: str) -> str:
         return (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
 
+    def blocks(self, text: str) -> Iterator[str]:
+        """The text in parts that are encoded by themselves: no piece reaches over the space that a part begins with."""
+        text, at = self.prepared(text), 0
+        while not self.inner and len(text) - at > 2 * BLOCK:
+            end = text.find(SPACE, at + BLOCK)
+            while end > 0 and text[end - 1] == SPACE:
+                end = text.find(SPACE, end + 1)
+            if end < 0:
+                break
+            yield text[at:end]
+            at = end
+        yield text[at:] if at else text
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian 4-byte integers, a block of segments at a time; a long segment as it is committed."""
+        packed = self.packed
+        for block in self.blocks(text):
+            found = []
+            for s in self.segments(block):
+                if ids := self.cache.get(s):
+                    found.append(ids)
+                elif len(s) <= LONGEST:
+                    found.append(packed(s))
+                else:
+                    yield b"".join(found)
+                    found = []
+                    yield from self.search(s)
+            yield b"".join(found)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 4-byte integers."""
-        packed = self.packed
-        return b"".join([self.cache.get(s) or packed(s) for s in self.segments(self.prepared(text))])
+        return b"".join(self.stream(text))
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces joined, spaces unescaped, byte pieces read as UTF-8, the dummy prefix removed."""
+    def decode(self, ids: bytes, first: bool = True) -> str:
+        """The text of ids: pieces joined, spaces unescaped, byte pieces read as UTF-8; at first, the dummy prefix removed."""
         text = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace")
-        return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
+        return text[1:] if first and self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
 _codecs: dict[int, Codec] = {}
@@ -278,25 +334,43 @@ def _codec(shared) -> Codec:
     return found
 
 
+class Returned:
+    """The digest of what a text's ids decode to, and whether that is the text with U+2581 read as a space, part by part."""
+
+    def __init__(self, codec: Codec, text: str):
+        self.codec, self.text, self.at, self.same, self.first, self.digest = codec, text.replace(SPACE, " "), 0, True, True, hashlib.sha256()
+
+    def add(self, ids: bytes) -> None:
+        """The next ids; parts end between characters."""
+        back = self.codec.decode(ids, self.first)
+        self.first = self.first and not ids
+        self.digest.update(back.encode())
+        self.same = self.same and self.text.startswith(back, self.at)
+        self.at += len(back)
+
+    def result(self) -> tuple[str, bool]:
+        return self.digest.hexdigest(), self.same and self.at == len(self.text)
+
+
 def _returned(codec: Codec, text: str, ids: bytes) -> tuple[str, bool]:
-    """The digest of what ids decode to, and whether that is the text with U+2581 read as a space."""
-    back = codec.decode(ids)
-    return hashlib.sha256(back.encode()).hexdigest(), back == text.replace(SPACE, " ")
+    found = Returned(codec, text)
+    found.add(ids)
+    return found.result()
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", checked: bool = False) -> DataFrame:
     """docs with a column of the text's ids, as the library gives them without begin and end ids.
 
     With checked, decoded_sha256 and round_trip follow, as in digests. A null or empty text gets an empty array. Rows
-    are independent; an empty table gives no rows. No added column may be one of docs.
+    are independent; an empty table gives no rows. An added column takes the place of one of docs by that name.
     """
     added = [ids_col, *(["decoded_sha256", "round_trip"] if checked else [])]
-    if taken := [c for c in added if c in docs.columns]:
-        raise ValueError(f"docs already has a column {taken[0]}")
     spark = docs.sparkSession
     bound_batches(spark)
-    shared, where = spark.sparkContext.broadcast(Vocabulary.read(model_file)), docs.columns.index(text_col)
-    names = [f"c{k}" for k in range(len(docs.columns))]
+    kept = [c for c in docs.columns if c not in added or c == text_col]
+    docs = docs.select(*map(quoted, kept))
+    shared, where = spark.sparkContext.broadcast(Vocabulary.read(model_file)), kept.index(text_col)
+    names = [f"c{k}" for k in range(len(kept))]
     types = [t for _, t in docs.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +391,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, *more], names=[*names, "ids", "decoded_sha256", "round_trip"][: len(names) + len(added)])
 
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)) + ", ids array<int>" + (", decoded_sha256 string, round_trip boolean" if checked else "")
-    return docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*docs.columns, *added)
+    out = docs.toDF(*names).mapInArrow(releasing(run), schema).toDF(*names, *(f"_{c}" for c in added))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=True) if c not in added), *(F.col(f"_{c}").alias(c) for c in added))
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,12 +410,15 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, of_ids, of_text, same = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                digest, back = _returned(codec, text or "", ids)
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(digest)
-                same.append(back)
+                size, digest, returned = 0, hashlib.sha256(), Returned(codec, text or "")
+                for ids in codec.stream(text or ""):
+                    size += len(ids) // 4
+                    digest.update(ids)
+                    returned.add(ids)
+                n.append(size)
+                of_ids.append(digest.hexdigest())
+                of_text.append(returned.result()[0])
+                same.append(returned.result()[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), pa.array(same, pa.bool_())], names=["id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -349,9 +427,10 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with a column of the text that the array ids_col stands for; null ids give null."""
+    """rows with a column of the text that the array ids_col stands for, in place of one by that name; null ids give null."""
     spark = rows.sparkSession
     bound_batches(spark)
+    rows = rows.select(*(quoted(c) for c in rows.columns if c != text_col))
     shared, where = spark.sparkContext.broadcast(Vocabulary.read(model_file)), rows.columns.index(ids_col)
     names = [f"c{k}" for k in range(len(rows.columns))]
     types = [t for _, t in rows.dtypes]

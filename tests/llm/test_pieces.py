@@ -65,5 +65,27 @@ def test_frames(spark):
     assert [r["decoded"] for r in coded] == ["", "", "Hello  world\n漢", "a " * 30000] and [len(r["ids"]) for r in coded][:2] == [0, 0]
     assert [tuple(r)[:2] for r in pieces.digests(df, MODEL).collect()][:2] == [(1, 0), (None, 0)]
     assert pieces.encode(df.limit(0), MODEL).collect() == [] and pieces.digests(df.limit(0), MODEL).collect() == []
-    with pytest.raises(ValueError, match="already"):
-        pieces.encode(df, MODEL, ids_col="id")
+    over = pieces.encode(df, MODEL, ids_col="id")
+    assert over.columns == ["doc_id", "text", "id"] and [len(r["id"]) for r in over.collect()][:2] == [0, 0]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", "y.z")], "doc_id long, text string, ids int, round_trip string, `n.ids` string")
+    row = pieces.encode(df, MODEL, checked=True).collect()[0].asDict()
+    assert list(row) == ["doc_id", "text", "n.ids", "ids", "decoded_sha256", "round_trip"] and row["round_trip"] is True and len(row["ids"]) == 2
+    assert pieces.digests(df, MODEL).collect()[0]["n_ids"] == 2
+    assert pieces.decode(df.selectExpr("array(1, 2) ids", "1 decoded"), MODEL).columns == ["ids", "decoded"]
+
+
+@pytest.mark.parametrize("part", ["the  cat ", "x", "漢字", "  ", "a\nb "])
+def test_blocks_of_a_long_text_equal_the_whole(part, monkeypatch):
+    codec, library = both()
+    text = "".join(f"{part}{k % 97}" for k in range(3000))
+    monkeypatch.setattr(pieces, "BLOCK", 500)
+    parts = list(codec.blocks(text))
+    assert "".join(parts) == codec.prepared(text) and (" " not in text or len(parts) > 5)
+    assert np.frombuffer(b"".join(codec.stream(text)), "<i4").tolist() == library.encode(text)
+    found = pieces.Returned(codec, text)
+    for ids in codec.stream(text):
+        found.add(ids)
+    assert found.result() == pieces._returned(codec, text, codec.encode(text)) and found.result()[1]
