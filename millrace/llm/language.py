@@ -23,8 +23,9 @@ CALIBRATION_DOCS = 500
 FOLDS = 4
 #: Bits a character by which a text may exceed the worst calibration text of its length before it is rejected.
 MARGIN = 0.5
-#: Entries of a worker's cache of word scores; it starts anew when full.
-CACHE = 200_000
+#: Entries and letters of a worker's cache of word scores, which starts anew when either is full; characters scored at
+#: once, so that a word of any length takes bounded memory.
+CACHE, CACHE_CHARS, PART = 200_000, 8 << 20, 1 << 17
 UNDETERMINED = "und"
 
 _START, _END, _ASTRAL = 1, 2, 3
@@ -84,8 +85,19 @@ class Model:
         return at, (self.keys[at] == keys) & (keys != 0)
 
     def word_costs(self, words: list[str]) -> np.ndarray:
-        """Bits that each language's model spends on each word and its end mark."""
+        """Bits that each language's model spends on each word and its end mark, PART characters at a time."""
         codes, starts = codes_of(words)
+        total = np.zeros((len(words), len(self.langs)))
+        for at in range(0, len(codes), PART):
+            low = max(0, at - ORDER + 1)
+            costs = self._costs(codes[low : at + PART])[at - low :]
+            word = np.searchsorted(starts, at, side="right") - 1
+            begin = np.append(0, starts[word + 1 : np.searchsorted(starts, at + PART)] - at)
+            total[word : word + len(begin)] += np.add.reduceat(costs, begin, axis=0)
+        return total
+
+    def _costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits for each code unit but start marks; the first ORDER - 1 are exact only where a word begins the part."""
         keys = ngram_keys(codes)
         total = np.zeros((len(codes), len(self.langs)))
         open_ = np.flatnonzero(codes != _START)
@@ -98,7 +110,7 @@ class Model:
                 at, hit = self.find(context)
                 total[open_[hit]] += self.back[at[hit]]
         total[open_] += self.unseen
-        return np.add.reduceat(total, starts, axis=0)
+        return total
 
 
 def fit(counts: dict[str, dict[str, int]]) -> Model:
@@ -106,9 +118,12 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
 
     Counts of the highest order and of n-grams that begin a word are occurrences; those of the others are the distinct
     characters seen before them. The discount of an order is n1 / (n1 + 2 n2); the shortest order interpolates with a
-    uniform distribution over all characters seen in any language and one more.
+    uniform distribution over all characters seen in any language and one more. Without counts the model has no language.
     """
     langs = sorted(counts)
+    if not langs:
+        none = np.zeros((0, 0))
+        return Model([], np.zeros(0, "<u8"), none, none, np.zeros(0), np.full(64, np.inf), 1.0)
     per: list[list[tuple[np.ndarray, np.ndarray]]] = []
     alphabet: set[int] = set()
     for lang in langs:
@@ -212,15 +227,16 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.where, self.costs = model, {}, np.zeros((0, len(model.langs)))
-        self.used = 0
+        self.used = self.letters = 0
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.where]
         if not new:
             return
-        if self.used + len(new) > CACHE:
-            self.where, self.used = {}, 0
+        if self.used + len(new) > CACHE or self.letters > CACHE_CHARS:
+            self.where, self.costs, self.used, self.letters = {}, self.costs[:0], 0, 0
             new = list(dict.fromkeys(words))
+        self.letters += sum(map(len, new))
         costs = np.concatenate([self.model.word_costs(new[at : at + 20000]) for at in range(0, len(new), 20000)])
         if self.used + len(new) > len(self.costs):
             grown = np.zeros((max(2 * len(self.costs), self.used + len(new)), costs.shape[1]))
@@ -233,6 +249,8 @@ class Scorer:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character for each text and language, and the characters (end marks counted); 0 for no letters."""
         bits, chars = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts), np.int64)
+        if not self.model.langs:
+            return bits, np.array([sum(map(len, ws)) + len(ws) for ws in map(words_of, texts)], np.int64)
         held: list[tuple[int, list[str]]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -260,12 +278,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     For each language at most about train_docs + calibration_docs rows are used, those with the lowest hash of their
     id, whole. Words of the training rows are counted by language on the executors; the driver gets those counts. A
     language with no more rows than that is learned from all of them, and calibrated by models that leave out a part of
-    its calibration rows, each row in one of FOLDS parts (single rows when there are few).
+    its calibration rows, each row in one of FOLDS parts (single rows when there are few). Languages are taken to be few:
+    the driver holds one row and the plan one branch for each. A language whose texts have no letter is not learned;
+    without any labelled letter the model has no language, predicts und and rejects only texts without a letter.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 40)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return fit({})
     small = {k for k, n in sizes.items() if n <= train_docs + calibration_docs}
     share = lambda docs: {k: int(min(1.0, docs / n) * (1 << 40)) for k, n in sizes.items()}
     learn = share(train_docs) | dict.fromkeys(small, 1 << 40)
@@ -286,10 +306,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     table = counted.toArrow()
     for lang, word, n in zip(table["lang"].to_pylist(), table["word"].to_pylist(), table["n"].to_pylist(), strict=True):
         counts.setdefault(lang, {})[word] = n
-    if not counts:
-        raise ValueError("no labelled text to learn from")
     model = fit({k: dict(sorted(v.items())) for k, v in counts.items()})
-    kept = rows.filter((F.col("h") >= limit(first)) & (F.col("h") < limit(last)) & F.col("lang").isin(model.langs)).select("lang", "text", "h").toArrow()
+    kept = rows.filter((F.col("h") >= limit(first)) & (F.col("h") < limit(last)) & F.col("lang").isin(model.langs or [""])).select("lang", "text", "h").toArrow()
     samples = sorted(zip(kept["h"].to_pylist(), kept["lang"].to_pylist(), kept["text"].to_pylist(), strict=True))
     folds: list[list[tuple[str, str]]] = [[] for _ in range(FOLDS)]
     place: Counter = Counter()
@@ -310,14 +328,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def rejections(model: Model, bits: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    return (chars == 0) | (bits.min(axis=1) > model.ceilings[bucket(chars)])
+    return (chars == 0) | (bits.min(axis=1) > model.ceilings[bucket(chars)]) if model.langs else chars == 0
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, entropy, rejected) for each row of docs, from the text alone.
 
     lang_pred is the language of the lowest cross-entropy a character, the first by name among equals; und with score
-    0 for a null text or one without a letter. score is the calibrated posterior of the choice. rejected is true for
+    0 for a null text or one without a letter, and for all texts where the model has no language. score is the calibrated posterior of the choice. rejected is true for
     und and for a text above the calibrated ceiling. Rows are independent; repeated and null ids pass through, an
     empty table gives no rows, other columns are not read.
     """
@@ -330,8 +348,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = Scorer(model)
         for batch in batches:
             bits, chars = scorer.entropies(batch.column(1).to_pylist())
-            best, some = bits.argmin(axis=1), chars > 0
-            low = bits.min(axis=1)
+            if model.langs:
+                best, low, some = bits.argmin(axis=1), bits.min(axis=1), chars > 0
+            else:
+                best, low, some = np.zeros(len(bits), int), np.zeros(len(bits)), np.zeros(len(bits), bool)
             score = np.where(some, 1 / np.exp((low[:, None] - bits) * model.sharpness).sum(axis=1), 0.0)
             names = np.array([*model.langs, UNDETERMINED], object)[np.where(some, best, len(model.langs))]
             rejected = rejections(model, bits, chars)

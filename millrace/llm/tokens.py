@@ -18,14 +18,18 @@ from millrace.runtime import bound_batches, releasing
 TABLE = 32768
 #: Counters kept by a task's frequency sketch, and rows merged into one sketch at a time.
 SKETCH, FAN_IN = 8192, 64
-#: Entries of a worker's cache of rarer pre-tokens; it starts anew when full. Longer pre-tokens are not kept.
-CACHE, LONGEST = 400_000, 64
+#: Entries and characters of a worker's cache of rarer pre-tokens, which starts anew when either is full; longer
+#: pre-tokens are not counted as frequent.
+CACHE, CACHE_CHARS, LONGEST = 400_000, 16 << 20, 64
 
 # The special strings and the split pattern of the vocabulary file word_bpe_49k.json, the pattern
 # written for texts of ASCII and Latin-1 letters.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
+#: Before a pre-token in mapped bytes: no pre-token holds it, as a blank.
+MAPPED = " "
+
 _PLAIN = re.compile(r"[\x00-\x7FÀ-ÿ]*\Z")
 _tables: dict[str, dict[str, int]] = {}
 _tokenizers: dict[str, object] = {}
@@ -45,20 +49,27 @@ def load(text: str):
 
 
 def lengths(tokenizer, words: list[str]) -> list[int]:
-    """Tokens of each word by the library; this process's threads are left to Spark."""
+    """Tokens of each word, as words_of gives them, by the library; this process's threads are left to Spark."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return [len(e.ids) for at in range(0, len(words), 4096) for e in encode(words[at : at + 4096], add_special_tokens=False)]
+    plain = [w for w in words if not w.startswith(MAPPED)]
+    known = iter([len(e.ids) for at in range(0, len(plain), 4096) for e in encode(plain[at : at + 4096], add_special_tokens=False)])
+    return [len(tokenizer.model.tokenize(w[1:])) if w.startswith(MAPPED) else next(known) for w in words]
+
 
+def words_of(tokenizer, text: str) -> tuple[list[str], int]:
+    """The pre-tokens of a text, and the special strings between them.
 
-def plain_parts(text: str) -> tuple[list[str], int] | None:
-    """Parts between special strings and the number of those, or None for a text beyond ASCII and Latin-1 letters."""
-    if not _PLAIN.match(text):
-        return None
+    A text of ASCII and Latin-1 letters is cut by PRE_TOKEN; any other by the library's own normalizer and
+    pre-tokenizer, whose pre-tokens are written in mapped bytes: those that are not plain ASCII get the mark MAPPED.
+    """
     parts = SPECIAL.split(text) if "<|" in text else [text]
-    return parts, len(parts) - 1
+    if _PLAIN.match(text):
+        return (PRE_TOKEN.findall(text.lower()) if len(parts) == 1 else [w for part in parts for w in PRE_TOKEN.findall(part.lower())]), len(parts) - 1
+    cut, normal = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.normalizer.normalize_str
+    return [w if w.isascii() else MAPPED + w for part in parts for w, _ in cut(normal(part))], len(parts) - 1
 
 
 class Sketch:
@@ -86,19 +97,19 @@ class Sketch:
         self.add(Counter(dict(zip(items.split("\n"), np.frombuffer(counts, "<i8").tolist(), strict=True))) if items else Counter())
 
 
-def frequent(texts: DataFrame, size: int = SKETCH) -> list[str]:
-    """The most frequent pre-tokens of all texts, at most TABLE, from sketches merged FAN_IN at a time.
+def frequent(texts: DataFrame, model, size: int = SKETCH) -> list[str]:
+    """The most frequent pre-tokens of all texts, at most TABLE, from sketches merged FAN_IN at a time; model is the
+    broadcast text of the tokenizer's file.
 
     What moves is one sketch for each task, never pre-tokens; the driver gets FAN_IN sketches at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(size)
+        sketch, tokenizer = Sketch(size), load(model.value)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and (found := plain_parts(text)):
-                    for part in found[0]:
-                        sketch.add(w for w in PRE_TOKEN.findall(part.lower()) if len(w) <= LONGEST)
+                if text:
+                    sketch.add(w for w in words_of(tokenizer, text)[0] if len(w) <= LONGEST)
         yield sketch.batch()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +134,13 @@ class Lengths:
     """Token counts of texts from the broadcast table, then the worker's cache, then the library."""
 
     def __init__(self, tokenizer, table: dict[str, int]):
-        self.tokenizer, self.table, self.cache = tokenizer, table, dict(table)
+        self.tokenizer, self.table, self.cache, self.chars = tokenizer, table, dict(table), 0
 
     def learn(self, words: set[str]) -> None:
         new = list(words)
-        if len(self.cache) + len(new) > CACHE + len(self.table):
-            self.cache = dict(self.table)
+        if len(self.cache) + len(new) > CACHE + len(self.table) or self.chars > CACHE_CHARS:
+            self.cache, self.chars = dict(self.table), 0
+        self.chars += sum(map(len, new))
         self.cache.update(zip(new, lengths(self.tokenizer, new), strict=True))
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -136,11 +148,7 @@ class Lengths:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if (found := plain_parts(text)) is None:
-                out[k] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                continue
-            parts, out[k] = found
-            words = [w for part in parts for w in PRE_TOKEN.findall(part.lower())] if len(parts) > 1 else PRE_TOKEN.findall(parts[0].lower())
+            words, out[k] = words_of(self.tokenizer, text)
             kept.append((k, words))
             missing.update(words)
             if len(missing) > CACHE // 4:
@@ -163,17 +171,18 @@ class Lengths:
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row of docs, as the library counts without added special tokens.
 
-    A text of ASCII and Latin-1 letters is cut into pre-tokens here, and their lengths add up, as merges never cross
-    pre-tokens; any other text is encoded whole by the library. A null or empty text has 0 bytes and tokens. Rows are
+    Texts are cut into pre-tokens, whose lengths add up, as merges never cross pre-tokens: frequent ones come from the
+    broadcast table, others from the worker's cache or, at first, the library. A null or empty text has 0 bytes and tokens. Rows are
     independent, repeated ids and null ids pass through, an empty table gives no rows, other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     source = Path(tokenizer_file).read_text(encoding="utf-8")
-    words = frequent(rows.select("text"))
+    model = spark.sparkContext.broadcast(source)
+    words = frequent(rows.select("text"), model)
     known = lengths(load(source), words)
-    model, table = spark.sparkContext.broadcast(source), spark.sparkContext.broadcast(("\n".join(words), np.array(known, "<u2").tobytes()))
+    table = spark.sparkContext.broadcast(("\n".join(words), np.array(known, "<u2").tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, packed = table.value

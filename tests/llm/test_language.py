@@ -77,8 +77,6 @@ def test_edges(spark):
     kept = language.keep_known(df, model)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 4, 5]
     assert language.predict(df.limit(0), model).collect() == []
-    with pytest.raises(ValueError, match="labelled"):
-        language.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
 
 
 def test_scorer_cache_begins_anew(monkeypatch):
@@ -128,3 +126,81 @@ def test_a_text_of_words_with_numerals_has_a_language(spark):
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = language.predict(spark.createDataFrame([(1, "schung² einung₂ schein³ "), (2, "²½")], "doc_id long, text string"), model).collect()
     assert [(r["lang_pred"], r["score"] > 0, r["rejected"]) for r in got] == [("bb", True, False), ("und", False, True)]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "aa"), (2, "x", None)], [(1, "12 ...", "aa"), (None, "", "bb")]])
+def test_nothing_to_learn_from(spark, rows):
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == []
+    df = spark.createDataFrame([(1, "some words"), (2, None), (3, "12"), (None, "x")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in language.predict(df, model).collect()] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (None, "und", 0.0)]
+    assert [r["doc_id"] for r in language.keep_known(df, model).collect()] == [1, None]
+    assert language.predict(df.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_the_query_on_a_table_without_labels(spark, tmp_path, rows):
+    from millrace.llm import queries
+
+    spark.createDataFrame([(k, "text", None, "s", 4) for k in range(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_language(spark, str(tmp_path)).collect()
+    assert [r["lang_pred"] for r in got] == ["und"] * rows
+
+
+def test_long_words_are_scored_in_parts(monkeypatch):
+    model = language.fit({lang: Counter(w for g, t in corpora() if g == lang for w in t.split()) for lang in ("aa", "bb", "cc")})
+    words = ["laou" * 900, "x", "schung" * 50, "que"] * 5
+    want = model.word_costs(words)
+    for part in (7, 64, 1001):
+        monkeypatch.setattr(language, "PART", part)
+        assert np.allclose(model.word_costs(words), want)
+    monkeypatch.setattr(language, "CACHE_CHARS", 1000)
+    scorer = language.Scorer(model)
+    for text in ("laou" * 900 + " x", "que x", "laou" * 900):
+        assert np.allclose(scorer.entropy(text)[0], language.Scorer(model).entropy(text)[0])
+
+
+def test_ties_take_the_first_name(spark):
+    rows = [(k, "la ou que", lang) for k, lang in enumerate(["zz", "aa", "mm"])]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame([(1, "ou la")], "doc_id long, text string"), model).collect()
+    assert got[0]["lang_pred"] == "aa" and got[0]["score"] == pytest.approx(1 / 3)
+
+
+def test_predictions_by_brute_force(spark):
+    """Every column of a prediction from the definitions: words, costs, calibration, score and rejection."""
+    train, apart = corpora(1, 60), corpora(2, 30)
+    counts = {lang: Counter(w for g, t in train if g == lang for w in t.lower().split()) for lang in ("aa", "bb", "cc")}
+    model = language.fit(counts)
+    language.calibrate(model, apart)
+    alphabet = len({c for t in counts.values() for w in t for c in w}) + 1
+    cost = {lang: reference(c, language.ORDER, alphabet) for lang, c in counts.items()}
+    known = {}
+
+    def bits(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not words:
+            return None, 0
+        chars = sum(len(w) + 1 for w in words)
+        out = []
+        for lang in sorted(counts):
+            for w in set(words) - {k[1] for k in known if k[0] == lang}:
+                s = "\x01" + w + "\x02"
+                known[lang, w] = sum(cost[lang](s[max(0, i - language.ORDER + 1) : i], s[i]) for i in range(1, len(s)))
+            out.append(sum(known[lang, w] for w in words) / chars)
+        return out, chars
+
+    seen = [(sorted(counts).index(lang), *bits(t)) for lang, t in apart]
+    ceiling = lambda n: max([min(b) for _, b, c in seen if int(math.log2(c)) >= int(math.log2(n))] or [max(min(b) for _, b, _ in seen)]) + language.MARGIN
+    loss = lambda z: sum(math.log(sum(math.exp(z * (min(b) - x)) for x in b)) - z * (min(b) - b[k]) for k, b, _ in seen)
+    sharp = min((2.0**k for k in range(-2, 7)), key=loss)
+    texts = [t for _, t in corpora(3, 15)] + ["12", None, "", "Zyxw qq", "THE tion-on 4", "la", "zzzz " * 30, "CO2 ou"]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r, text in zip(got, texts, strict=True):
+        b, chars = bits(text)
+        if not chars:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        assert r["lang_pred"] == sorted(counts)[b.index(min(b))] and r["entropy"] == pytest.approx(min(b))
+        assert r["score"] == pytest.approx(1 / sum(math.exp(sharp * (min(b) - x)) for x in b)) and r["rejected"] == (min(b) > ceiling(chars))
+    assert any(r["rejected"] and r["lang_pred"] != "und" for r in got) and not all(r["rejected"] for r in got)

@@ -55,4 +55,22 @@ def test_frames(spark):
 def test_sketches_merge_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(tokens, "FAN_IN", 2)
     df = spark.createDataFrame([(f"a b{k}",) for k in range(60)], "text string").repartition(9)
-    assert tokens.frequent(df)[0] == "a"
+    assert tokens.frequent(df, spark.sparkContext.broadcast(open(PATH, encoding="utf-8").read()))[0] == "a"
+
+
+def test_one_mark_beyond_latin_leaves_table_and_cache_in_use(spark, monkeypatch):
+    texts = ["the cat’s “hat” 漢字 é naïve", "the cat's hat ½ Ünï", "ΣΑΣ ΌΣ", "İstanbul ŉ ǰ", "क्षि e\u0301 \u0301x", "ﬁ Å K"]
+    counter = tokens.Lengths(library(), {})
+    assert counter.count(texts) == [len(library().encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(tokens, "lengths", lambda tokenizer, words: 1 / 0)
+    assert counter.count(texts) == [len(library().encode(t, add_special_tokens=False).ids) for t in texts]
+    words = tokens.frequent(spark.createDataFrame([(t,) for t in ["’ the"] * 9], "text string"), spark.sparkContext.broadcast(open(PATH, encoding="utf-8").read()))
+    assert "the" in words and any(w.startswith(tokens.MAPPED) for w in words)
+
+
+def test_cache_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 5000)
+    counter = tokens.Lengths(library(), {})
+    for text in ["a" * 9000, "b" * 9000 + " c", "a" * 9000]:
+        assert counter.count([text]) == [len(library().encode(text, add_special_tokens=False).ids)]
+    assert len(counter.cache) <= 2
