@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import join_spread
 from millrace.runtime import discard, materialize
 
 
 def _larger_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is hung on the least node of that neighbourhood."""
     both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "other")
-    least = both.groupBy("node").agg(F.min("other").alias("m"))
-    hung = both.join(least, "node").filter(F.col("other") > F.col("node"))
+    least = both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("n"))
+    hung = join_spread(both, least, "node", "n").filter(F.col("other") > F.col("node"))
     return hung.select(F.col("other").alias("hi"), F.least("m", "node").alias("lo")).distinct()
 
 
 def _smaller_star(edges: DataFrame) -> DataFrame:
     """A node and its lower neighbours are hung on the least of them."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter(F.col("lo") != F.col("m"))
+    least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+    moved = join_spread(edges, least, "hi", "n").filter(F.col("lo") != F.col("m"))
     return moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -27,8 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): component is the least node id that links reach from node.
 
     Edges are two bigint columns; self loops and edges with a null end are ignored, and a node on no edge is absent.
-    Each round contracts stars with map-side-combined minima only: no neighbourhood is gathered into a task, so one
-    node may carry a third of all edges. Rounds grow with the logarithm of the longest path.
+    Each round contracts stars with map-side-combined minima, and the edges of a node with many are dealt over tasks
+    before they meet its minimum, so one node may carry a third of all edges. Rounds grow with the logarithm of the longest path.
     """
     pairs = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
     signature = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())

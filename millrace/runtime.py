@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +52,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name that none of columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bound_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
     """Hold Arrow batches to `size` bytes, so that a run of very long texts cannot fill a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
