@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.simhash import least_labels
 from millrace.operators.components import connected_components
+from millrace.operators.skew import join_spread
 from millrace.runtime import bound_batches, materialize, releasing
 
 #: Rows of the sample that the principal directions are fitted on: its bound. They only steer the order, never the result.
@@ -203,9 +204,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     nodes = packed.select("block", "label", F.explode(F.arrays_zip("h1", "h2", "copies", "least", F.sequence(F.lit(0), F.size("h1") - 1).alias("at"))).alias("v"))
     nodes = nodes.select((F.shiftleft("block", 11) + F.col("v.at")).alias("node"), "label", "v.h1", "v.h2", "v.copies", "v.least")
     named = nodes.join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = named.join(classes, "root").select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("usable"))
-    joined = keyed.drop("vector").join(facts, ["label", "h1", "h2", "usable"], "left")
+    classes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    facts = join_spread(named, classes, "root", "members").select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("usable"), "copies")
+    joined = join_spread(keyed.drop("vector"), facts, ["label", "h1", "h2", "usable"], "copies", "left")
     class_id = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("id"))
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), class_id.alias("component_id"), F.col("id").eqNullSafe(class_id).alias("kept"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import join_spread
+
 #: The assistant's turns are what a model is trained on.
 TRAINED_ROLE = "assistant"
 TURN_END = "<|end|>\n"
@@ -32,7 +34,8 @@ def opening_groups(turns: DataFrame) -> DataFrame:
     opening = F.sha2(F.concat_ws("\x00", marked(F.col("first.role")), marked(F.col("first.text"))), 256)
     keyed = first.select("conv_id", opening.alias("opening"))
     groups = keyed.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n"))
-    return keyed.join(groups, "opening").select("conv_id", "chosen_id", "n")
+    # the count decides where rows are dealt, and stays as a column
+    return join_spread(keyed, groups.withColumn("rows", F.col("n")), "opening", "rows").select("conv_id", "chosen_id", "n")
 
 
 def _rendered(turn: Column) -> Column:
@@ -91,15 +94,15 @@ def preference_format(turns: DataFrame) -> DataFrame:
     Of those that open alike, the one with the least conv_id is chosen and each other one is rejected against it; a
     conversation that opens like no other is formatted alone, with rejected_id null. So each conversation appears, and
     an empty table gives no rows. Texts are shuffled once by conversation; only members of a group meet their chosen
-    conversation, in an equi-join whose skewed side the planner splits. Other columns are not read.
+    conversation, and a large group is dealt over tasks for that. Other columns are not read.
     """
     narrow = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     whole = conversations_of(narrow).join(opening_groups(narrow), "conv_id")
     alone = whole.filter(F.col("n") == 1).select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast(whole.schema["conv_id"].dataType).alias("rejected_id"), F.col("turns").alias("chosen"), F.lit(None).cast(whole.schema["turns"].dataType).alias("rejected"))
     grouped = whole.filter(F.col("n") > 1)
-    heads = grouped.filter(F.col("conv_id") == F.col("chosen_id")).select("chosen_id", F.col("turns").alias("chosen"))
+    heads = grouped.filter(F.col("conv_id") == F.col("chosen_id")).select("chosen_id", F.col("turns").alias("chosen"), "n")
     others = grouped.filter(F.col("conv_id") != F.col("chosen_id")).select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
-    paired = others.join(heads, "chosen_id").select("chosen_id", "rejected_id", "chosen", "rejected")
+    paired = join_spread(others, heads, "chosen_id", "n").select("chosen_id", "rejected_id", "chosen", "rejected")
     return render(alone.unionByName(paired))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
-from millrace.runtime import bound_batches, materialize, releasing
+from millrace.operators.skew import join_spread
+from millrace.runtime import bound_batches, discard, fresh, materialize, releasing
 
 SEED = 42
-#: The 64 bits are cut into this many pieces; fingerprints within 4 bits agree on two of six pieces at least.
-PIECES = 6
+#: A bucket is to hold about this many unrelated fingerprints at most.
+CROWD = 64
 #: Buckets above this many fingerprints are compared as pairs of slices, each pair a task of its own.
 SLICE = 16384
 #: Buckets up to this size are compared many at a time.
@@ -192,14 +194,27 @@ def piece_keys(column: str, radius: int, pieces: int) -> list:
     return out
 
 
-def links(marks: DataFrame, radius: int = 4, pieces: int = PIECES, slice_rows: int = SLICE) -> DataFrame:
+def pieces_for(count: int, radius: int) -> int:
+    """The fewest pieces, radius + 2 at least, whose keys spread `count` fingerprints over buckets of about CROWD.
+
+    More pieces mean longer keys and more of them; each number finds the same pairs.
+    """
+    pieces = radius + 2
+    while pieces < 16 and 64 * (pieces - radius) // pieces < math.log2(max(count, 1) / CROWD):
+        pieces += 1
+    return pieces
+
+
+def links(marks: DataFrame, radius: int = 4, pieces: int | None = None, slice_rows: int = SLICE) -> DataFrame:
     """(src, dst): enough links between distinct fingerprints to connect all that differ in `radius` bits or fewer.
 
-    Two fingerprints within the radius agree on pieces - radius whole pieces, so each meets every partner in a bucket.
-    A bucket above slice_rows is split into slices, and each pair of slices is a task: no task holds more than two.
+    Two fingerprints within the radius agree on pieces - radius whole pieces, so each meets every partner in a bucket;
+    by default their number follows that of the rows. A bucket above slice_rows is split into slices, and each pair of
+    slices is a task: no task holds more than two.
     """
     spark = marks.sparkSession
     bound_batches(spark)
+    pieces = pieces or pieces_for(marks.count(), radius)
     keyed = marks.select("fingerprint").distinct().select(F.explode(F.array(*piece_keys("fingerprint", radius, pieces))).alias("key"), "fingerprint")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows).select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("m"))
     dealt = keyed.join(large, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
@@ -232,7 +247,7 @@ def links(marks: DataFrame, radius: int = 4, pieces: int = PIECES, slice_rows: i
     return ordered.mapInArrow(releasing(run), "src bigint, dst bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, pieces: int = PIECES, slice_rows: int = SLICE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, pieces: int | None = None, slice_rows: int = SLICE) -> DataFrame:
     """(id, fingerprint, component_id) for every row of docs.
 
     component_id is the least non-null id among the rows whose fingerprints are connected by steps of `radius` bits or
@@ -241,12 +256,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is never a class's least while another exists. An empty table gives no rows; other columns are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    least = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    roots = connected_components(links(rows, radius, pieces, slice_rows)).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
+    least = rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    near = materialize(links(rows, radius, pieces, slice_rows), "links")
+    roots = connected_components(near).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
+    discard(near)
     classed = least.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    classes = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(classes, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    classes = classed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_spread(classed, classes, "root", "members").select("fingerprint", "component_id", "n")
+    return join_spread(rows, named, "fingerprint", "n").select("id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
@@ -260,5 +277,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     classes = materialize(near_duplicates(rows, "key", "text", words, radius), "classes").filter(F.col("id") == F.col("component_id"))
     chosen = classes.groupBy("id").agg(F.count("*").alias("n"))
     repeated = bool(chosen.filter("n > 1").limit(1).count())
-    kept = docs.join(chosen.select(F.col("id").alias("__key")), key == F.col("__key"), "left_semi")
+    name = fresh(docs.columns, "key")
+    kept = docs.join(chosen.select(F.col("id").alias(name)), key == F.col(name), "left_semi")
     return kept.dropDuplicates([id_col, text_col]) if repeated else kept
