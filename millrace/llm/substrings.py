@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import bound_batches, materialize, releasing
+from millrace.runtime import bound_batches, discard, materialize, releasing
 
 WINDOW = 20
 #: Bits of the filter of recurring anchors, 32 MB: its proven bound. A fuller filter passes more segments, never fewer.
 FILTER_BITS = 28
 #: An anchor with more than one in so many of all anchors, and more than HOT_LEAST, is dealt over SALTS tasks first; so
-#: at most HOT_SHARE anchors are.
-HOT_SHARE, HOT_LEAST, SALTS = 10_000, 2_000, 64
-#: Text bytes of an Arrow batch and of a block that is hashed at once, characters of one automaton's passages, and
-#: rows of one group that are located at a time.
-BATCH_BYTES, BLOCK_BYTES, SHARD_CHARS, PART_ROWS = 4 << 20, 1 << 20, 1 << 20, 20_000
+#: at most HOT_SHARE anchors are, 8 MB.
+HOT_SHARE, HOT_LEAST, SALTS = 1_000_000, 2_000, 64
+#: Text bytes of an Arrow batch and of a block that is hashed at once, characters of one automaton's passages, rows
+#: and characters of one group that are located at a time, and windows of a segment.
+BATCH_BYTES, BLOCK_BYTES, SHARD_CHARS, PART_ROWS, PART_CHARS, SEGMENT = 4 << 20, 1 << 20, 1 << 20, 20_000, 8 << 20, 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -139,7 +139,8 @@ def passes(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def segments(rows: DataFrame, bitmap, hot, window: int = WINDOW, salts: int = SALTS) -> DataFrame:
-    """(ah, salt, did, th, start, n, words): runs of windows under one anchor that the filter passes, with their words."""
+    """(ah, salt, did, th, start, n, words): runs of up to SEGMENT windows under one anchor that the filter passes, with
+    their words. Rows of a hot anchor are dealt over salts by document, so that copies of a text part as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = hot.value
@@ -150,19 +151,23 @@ def segments(rows: DataFrame, bitmap, hot, window: int = WINDOW, salts: int = SA
             at = np.flatnonzero(use)
             new = np.ones(len(at), bool)
             new[1:] = (np.diff(at) != 1) | (found.anchor[at[1:]] != found.anchor[at[:-1]]) | (found.doc[at[1:]] != found.doc[at[:-1]])
+            run = np.flatnonzero(new)
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            new |= place % SEGMENT == 0
             begin = at[new]
             n = np.diff(np.append(np.flatnonzero(new), len(at)))
             ah, doc = found.anchor[begin].view("<i8"), found.doc[begin]
             where = np.minimum(np.searchsorted(often, ah), max(0, len(often) - 1))
             common = often[where] == ah if len(often) else np.zeros(len(ah), bool)
             th = batch.column(1).to_numpy()[doc]
-            salt = np.where(common, (th.view("<u8") % np.uint64(salts)).astype(np.int32) + 1, 0).astype("<i4")
+            salt = common.astype("<i4")
             words = [found.words(b, b + k + window - 1) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
             arrays = [pa.array(ah), pa.array(salt), batch.column(0).take(pa.array(doc)), pa.array(th), pa.array(begin - found.first_word[doc]), pa.array(n.astype("<i4")), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["ah", "salt", "did", "th", "start", "n", "words"])
 
     kind = rows.schema["did"].dataType.simpleString()
-    return rows.mapInArrow(releasing(run), f"ah bigint, salt int, did {kind}, th bigint, start bigint, n int, words binary")
+    found = rows.mapInArrow(releasing(run), f"ah bigint, salt int, did {kind}, th bigint, start bigint, n int, words binary")
+    return found.withColumn("salt", F.when(F.col("salt") > 0, F.pmod(F.xxhash64("did", "th"), F.lit(salts)).cast("int") + 1).otherwise(0))
 
 
 Row = tuple[int, object, int, int, int, str]  # salt, did, th, start, n, words
@@ -240,9 +245,20 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def later_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
+def single_windows(runs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Segments of one window each from runs of them, salted by the hash of the window's words: equal windows stay
+    together, and the many different windows of one anchor part."""
+    split = runs.withColumn("part", F.split(F.col("words").cast("string"), " "))
+    each = split.select("ah", "did", "th", "start", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    words = F.array_join(F.slice("part", F.col("k") + 1, window), " ").cast("binary")
+    one = each.select("ah", "did", "th", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"), words.alias("words"))
+    return one.select("ah", F.pmod(F.xxhash64("words"), F.lit((1 << 31) - 1)).cast("int").alias("salt"), "did", "th", "start", "n", "words")
+
+
+def later_windows(found: DataFrame, window: int = WINDOW, final: bool = False) -> DataFrame:
     """(kind, ah, did, th, start, n, words) from segments: kind 0 is a run of windows that also start earlier, kind 1,
-    from salted anchors only, a run that is the first in its salt and still has to be held against the other salts.
+    from salted anchors only and not in the final pass, a run that is the first in its salt and still has to be held
+    against the other salts.
 
     Segments are dealt by anchor and salt, sorted by document and place, and read as a stream: a task holds the rows
     of one shard and the distinct windows of one anchor at a time.
@@ -268,7 +284,7 @@ def later_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
                 salt, did, th, start, n, words = row
                 runs = _joined(runs)
                 out += [(0, None, did, th, start + o, k, None) for o, k in runs]
-                if salt:
+                if salt and not final:
                     split, after = words.split(" "), 0
                     for o, k in [*runs, (n, 0)]:
                         if o > after:
@@ -291,7 +307,7 @@ def later_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
                     key = (ah, salt)
                     groups.append([])
                     anchors.append(ah)
-                elif len(groups[-1]) >= PART_ROWS and groups[-1][-1][1:4] != (did, th, start):
+                elif (len(groups[-1]) >= PART_ROWS or size > PART_CHARS) and groups[-1][-1][1:4] != (did, th, start):
                     if len(groups) > 1:
                         last, name = groups.pop(), anchors.pop()
                         yield from flush(False)
@@ -324,9 +340,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = np.sort(np.array([r["ah"] for r in counts.filter(F.col("n") > max(hot_least, total // HOT_SHARE)).select("ah").collect()], "<i8"))
     bitmap, hot = spark.sparkContext.broadcast(recurring_filter(counts, filter_bits)), spark.sparkContext.broadcast(often)
+    discard(counts)
     local = materialize(later_windows(segments(rows, bitmap, hot, window), window), "windows")
-    across = local.filter("kind = 1").select("ah", F.lit(0).alias("salt"), "did", "th", "start", "n", "words")
-    runs = local.filter("kind = 0").unionByName(later_windows(across, window)) if len(often) else local
+    across = single_windows(local.filter("kind = 1"), window)
+    runs = local.filter("kind = 0").unionByName(later_windows(across, window, final=True)) if len(often) else local
     return rows, runs.filter("kind = 0").select("did", "th", "start", "n")
 
 

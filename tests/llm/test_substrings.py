@@ -46,10 +46,26 @@ def test_equals_brute_force(spark, monkeypatch, hot_least):
     monkeypatch.setattr(substrings, "HOT_SHARE", 10**9)
     rows = corpus(hot_least)
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    if hot_least == 5:
+        monkeypatch.setattr(substrings, "SEGMENT", 7)
+        monkeypatch.setattr(substrings, "PART_CHARS", 2000)
     got = substrings.deduplicate(df, filter_bits=20, hot_least=hot_least).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_one_hot_run_in_many_contexts_and_one_word_repeated(spark):
+    """A run of 8 words that all documents share, each between words of its own, some of them twice; and one long run."""
+    rng = random.Random(3)
+    common = " ".join(f"c{k}" for k in range(8))
+    around = [" ".join(f"{rng.randrange(10**6)}" for _ in range(14)) for _ in range(40)]
+    rows = [(k, f"{around[k % 37]} {common} {around[(k * 7) % 39]}") for k in range(300)] + [(1000, "of " * 200_000), (1001, "of " * 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in substrings.deduplicate(df, filter_bits=20, hot_least=20).collect()}
+    # every window but the first also starts earlier; the first word is covered by the first window alone
+    assert got[1000]["n_removed"] == 199_999 and got[1001]["n_removed"] == 25
+    assert sorted((tuple(r) for r in got.values() if r["id"] < 1000), key=str) == brute(rows[:300])
+
+
 def test_parts_of_a_group_and_small_shards(monkeypatch):
     """The streamed steps alone, with parts and shards so small that groups span several."""
     window, text = 4, ["a b c d e f", "a b c d e f", "x b c d e y", "a b c d e f", "b c d e", "a a a a a a a"]
