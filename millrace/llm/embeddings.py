@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from millrace.llm.simhash import least_labels
 from millrace.operators.components import connected_components
 from millrace.operators.skew import join_spread
-from millrace.runtime import bound_batches, materialize, releasing
+from millrace.runtime import bound_batches, discard, materialize, releasing
 
 #: Rows of the sample that the principal directions are fitted on: its bound. They only steer the order, never the result.
 SAMPLE = 8192
 #: Leading directions that give grid cells and bounding boxes, and vectors of a block.
 LEADING, BLOCK = 8, 1024
 #: Intervals up to this length are compared outright.
-LEAF = 64
+LEAF = 256
+#: Bits of a block's number within its range partition, and parts of an interval of blocks.
+NUMBER_BITS, FAN = 28, 32
 #: Slack of the skipping tests against rounding; the cosine itself decides about each pair that is compared.
 SLACK = 1e-9
 
@@ -47,6 +49,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def packed_floats(x: np.ndarray) -> bytes:
+    """The numbers as 4-byte floats where those hold them exactly, else as 8-byte ones."""
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return (small if np.array_equal(small, x) else x).tobytes()
+
+
+def unpacked(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * rows * dim else "<f8").astype(float).reshape(rows, dim)
+
+
 def blocks(vectors: DataFrame, turn: Broadcast, radius: float, block: int = BLOCK) -> DataFrame:
     """One row for each block of up to `block` vectors of one label and length, in grid order.
 
@@ -79,21 +92,22 @@ def blocks(vectors: DataFrame, turn: Broadcast, radius: float, block: int = BLOC
     columns = ["vector", "label", "h1", "h2", "copies", "least"]
     kinds = {n: t for n, t in vectors.dtypes}
     schema = "cell bigint, lead array<double>, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
-    ordered = vectors.select(*columns).mapInArrow(releasing(order), schema).withColumn("dim", F.size("vector"))
+    # dealing by range reads its input twice
+    ordered = materialize(vectors.select(*columns).mapInArrow(releasing(order), schema).withColumn("dim", F.size("vector")), "ordered")
     dealt = ordered.repartitionByRange("label", "dim", "cell", "h1", "h2").sortWithinPartitions("label", "dim", "cell", "h1", "h2")
     out = f"block bigint, label {kinds['label']}, dim int, low array<double>, high array<double>, vectors binary, h1 array<bigint>, h2 array<int>, copies array<bigint>, least array<{kinds['least']}>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, at = TaskContext.get().partitionId() << 28, [], None
+        number, held, at = TaskContext.get().partitionId() << NUMBER_BITS, [], None
         names: list[str] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held
             get = lambda c: [r[names.index(c)] for r in held]
             lead = np.array(get("lead"))
-            cols = [[number], [at[0]], [at[1]], [lead.min(axis=0).tolist()], [lead.max(axis=0).tolist()], [np.array(get("vector"), "<f8").tobytes()], [get("h1")], [get("h2")], [get("copies")], [get("least")]]
+            cols = [[number], [at[0]], [at[1]], [lead.min(axis=0).tolist()], [lead.max(axis=0).tolist()], [packed_floats(np.array(get("vector"), "<f8"))], [get("h1")], [get("h2")], [get("copies")], [get("least")]]
             number, held = number + 1, []
             return pa.Table.from_pydict(dict(zip(target.names, cols, strict=True)), schema=target).to_batches()[0]
 
@@ -111,22 +125,45 @@ def blocks(vectors: DataFrame, turn: Broadcast, radius: float, block: int = BLOC
         if held:
             yield flush()
 
-    return materialize(dealt.mapInArrow(releasing(pack), out), "blocks")
+    found = materialize(dealt.mapInArrow(releasing(pack), out), "blocks")
+    discard(ordered)
+    return found
 
 
-def block_pairs(packed: DataFrame, radius: float) -> DataFrame:
+def block_pairs(packed: DataFrame, radius: float, fan: int = FAN) -> DataFrame:
     """(left, right): blocks whose bounding boxes come within the radius, each block with itself as well.
 
-    Candidates meet on label, length and a cell of the first direction, so that blocks far apart in grid order never
-    meet; the boxes then decide.
+    Blocks of one label and length form a sequence in grid order. Its intervals are joined recursively: the whole
+    sequence with itself, then of each pair that is left the parts, `fan` a side, whose boxes come within the radius,
+    down to single blocks. A key holds the partners of one interval, never a label's blocks.
     """
-    boxes = packed.select("block", "label", "dim", "low", "high")
-    cell = lambda c, off: F.floor(F.element_at(c, 1) / radius).cast("int") + off
-    a = boxes.withColumn("cell", F.explode(F.sequence(cell("low", -1), cell("high", 1)))).select("label", "dim", "cell", F.col("block").alias("left"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    b = boxes.withColumn("cell", F.explode(F.sequence(cell("low", 0), cell("high", 0)))).select("label", "dim", "cell", F.col("block").alias("right"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    gap = F.aggregate(F.sequence(F.lit(0), F.lit(LEADING - 1)), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.get("low_a", i) - F.get("high_b", i), F.get("low_b", i) - F.get("high_a", i), F.lit(0.0)), F.lit(2.0)))
-    near = a.join(b, ["label", "dim", "cell"]).filter((F.col("left") <= F.col("right")) & (gap <= radius * radius + SLACK))
-    return near.select("left", "right").distinct()
+    at = F.shiftright("block", NUMBER_BITS)
+    sizes = packed.select(at.alias("part")).groupBy("part").count().orderBy("part").collect()
+    before = dict(zip([r["part"] for r in sizes], np.cumsum([0, *(r["count"] for r in sizes)]).tolist(), strict=False))
+    total = sum(r["count"] for r in sizes)
+    offsets = packed.sparkSession.createDataFrame([*before.items()], "part bigint, before bigint")  # one row a range partition
+    corners = [F.get("low", k).alias(f"l{k}") for k in range(LEADING)] + [F.get("high", k).alias(f"h{k}") for k in range(LEADING)]
+    placed = packed.select(at.alias("part"), "block", "label", "dim", *corners).join(F.broadcast(offsets), "part")
+    leaves = placed.select("label", "dim", (F.col("before") + F.col("block").bitwiseAND((1 << NUMBER_BITS) - 1)).alias("node"), *[f"{c}{k}" for c in "lh" for k in range(LEADING)], "block")
+    bits = fan.bit_length() - 1
+    levels = [leaves]
+    while total > 1 << bits * (len(levels) - 1):
+        boxes = [F.min(f"l{k}").alias(f"l{k}") for k in range(LEADING)] + [F.max(f"h{k}").alias(f"h{k}") for k in range(LEADING)]
+        levels.append(leaves.groupBy("label", "dim", F.shiftright("node", bits * len(levels)).alias("node")).agg(*boxes))
+    pairs = levels[-1].select("label", "dim", F.col("node").alias("left"), F.col("node").alias("right"))
+    if len(levels) == 1:
+        levels.append(leaves)
+        pairs = leaves.select("label", "dim", F.lit(0).cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("right")).distinct()
+    for level in reversed(levels[:-1]):
+        side = lambda s, level=level: level.select("label", "dim", F.shiftright("node", bits).alias(s), F.col("node").alias(f"{s}_part"), *(F.col(f"{c}{k}").alias(f"{s}_{c}{k}") for c in "lh" for k in range(LEADING)), *([F.col("block").alias(f"{s}_block")] if level is leaves else []))
+        gap = lambda k: F.greatest(F.col(f"left_l{k}") - F.col(f"right_h{k}"), F.col(f"right_l{k}") - F.col(f"left_h{k}"), F.lit(0.0))
+        apart = sum((gap(k) * gap(k) for k in range(1, LEADING)), gap(0) * gap(0))
+        met = pairs.join(side("left"), ["label", "dim", "left"]).join(side("right"), ["label", "dim", "right"])
+        met = met.filter((F.col("left_part") <= F.col("right_part")) & (apart <= radius * radius + SLACK))
+        if level is leaves:
+            return met.select(F.col("left_block").alias("left"), F.col("right_block").alias("right"))
+        pairs = met.select("label", "dim", F.col("left_part").alias("left"), F.col("right_part").alias("right"))
+    raise AssertionError("the levels end with the blocks")
 
 
 def join_intervals(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.ndarray, cosine: float, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +218,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right, dim, va, vb, na, nb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (_unit(np.frombuffer(v, "<f8").reshape(-1, dim)) for v in (va, vb))
+                a, b = (_unit(unpacked(v, len(n), dim)) for v, n in ((va, na), (vb, nb)))
                 lead = turn.value.get(dim, np.eye(dim)[:, :LEADING])
                 same = left == right
                 i, j = join_intervals(a, b, a @ lead, b @ lead, cosine, radius, same)

@@ -1,4 +1,5 @@
 import math
+from functools import partial
 
 import numpy as np
 import pytest
@@ -30,7 +31,8 @@ def brute(rows, cosine=0.98):
 
 
 @pytest.mark.parametrize("block", [4, 1024])
-def test_links_match_brute_force(spark, block):
+def test_links_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "block_pairs", partial(embeddings.block_pairs, fan=4))
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
     rows = [(k, [float(np.float32(x)) for x in centres[k % 6] + rng.normal(size=8) * 0.09], k % 2) for k in range(150)]
