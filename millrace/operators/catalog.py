@@ -47,6 +47,16 @@ def page(df: DataFrame, offset: int, limit: int) -> tuple[DataFrame, int]:
     return df.orderBy("id").offset(offset).limit(limit), df.count()
 
 
+def ordered(df: DataFrame, *columns: str, descending: bool = False, id_col: str = "id") -> DataFrame:
+    """Rows by the columns, all falling with descending, and by ascending id among equals."""
+    return df.orderBy(*(F.desc(c) if descending else F.asc(c) for c in columns if c != id_col), id_col)
+
+
+def created_since(df: DataFrame, since: object, column: str = "created_at") -> DataFrame:
+    """Rows created after a moment; those of the moment itself and those without one fall out."""
+    return df.filter(F.col(column) > F.lit(since))
+
+
 def page_size(limit: int) -> int:
     return limit if 1 <= limit <= MAX_PAGE else PAGE
 
@@ -109,6 +119,15 @@ def distinct_domains(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("domains").alias("domain")).distinct()
 
 
+def health(documents: DataFrame, chunks: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """(metric, value): rows of the four main tables, facts of any status."""
+    out = None
+    for name, df in (("documents", documents), ("chunks", chunks), ("entities", entities), ("facts", facts)):
+        row = df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def overview(documents: DataFrame, chunks: DataFrame, entities: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     """(metric, value): rows of each table, facts of any status, distinct domains and types, link endpoints and rows."""
     one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from millrace.functions.arrays import let
+
 MAX_CHARS, OVERLAP = 1000, 100
+# The JSON fields that hold text.
 TEXT_FIELDS = ("description", "title", "wikitext", "html")
 CHUNKS = "array<struct<seq:bigint,text:string,search_text:string,start:bigint,end:bigint,metadata:string>>"
 
@@ -28,10 +31,12 @@ def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, max_chars: int = M
     size, step = max(1, max_chars), max(1, max_chars) - overlap if overlap < max(1, max_chars) else max(1, max_chars)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("whole")).filter(F.length(F.trim("whole")) > 0)
     last = F.greatest(F.lit(0), F.ceil((F.length("whole") - size) / F.lit(step))).cast("int")
-    cut = rows.select("id", "whole", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).alias("seq", "at"))
-    text = F.substring(F.col("whole"), F.col("at") + 1, F.lit(size))
-    start = F.octet_length(F.substring(F.col("whole"), F.lit(1), F.col("at"))).cast("bigint")
-    out = cut.select("id", F.col("seq").cast("bigint").alias("seq"), text.alias("text"), start.alias("start_offset"))
+    # one pass cuts the text into steps; windows and offsets come from those, so a long text costs no more a window
+    steps = F.regexp_extract_all(F.col("whole"), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    sums = lambda p: F.aggregate(p, F.array(F.lit(0).cast("bigint")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.octet_length(x))))
+    window = lambda p, s, k: F.struct(k.cast("bigint").alias("seq"), F.substring(F.array_join(F.slice(p, k + 1, -(-size // step)), ""), F.lit(1), F.lit(size)).alias("text"), F.get(s, k).alias("start_offset"))
+    cut = let(steps, lambda p: let(sums(p), lambda s: F.transform(F.sequence(F.lit(0), last), lambda k: window(p, s, k))))
+    out = rows.select("id", F.explode(cut).alias("c")).select("id", "c.seq", "c.text", "c.start_offset")
     return out.withColumn("end_offset", F.col("start_offset") + F.octet_length("text"))
 
 

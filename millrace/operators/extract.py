@@ -7,11 +7,14 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 AUTO_PUBLISH, MODEL_CONFIDENCE = 0.85, 0.5
 DESCRIPTION, WINDOW, FALLBACK = 500, 60, 120
@@ -61,6 +64,7 @@ def shortened(text: str) -> str:
 
 def clean_attributes(values: dict) -> dict:
     """Attributes without guesses and without versions that are none."""
+    # fixed values: what a model writes beside a guess
     guess = ("implied by context", "not explicitly stated")
     keep = lambda k, v: not isinstance(v, str) or not (any(g in v.lower() for g in guess) or (k.lower() == "version" and not re.fullmatch(r"[vV]?\d+(\.\d+)*([.-]?[A-Za-z0-9]+)?", v.strip())))
     return {k: v for k, v in values.items() if keep(k, v)}
@@ -109,6 +113,71 @@ def parsed(answers: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
     return answers.mapInPandas(rows(0, names(ENTITY)), ENTITY), answers.mapInPandas(rows(1, names(FACT)), FACT)
 
 
+PROVIDER = "provider"
+#: Metadata of a document that does not belong to an entity of it.
+DOCUMENT_FIELDS = ("url", "image_paths", "page_links", "categories")
+
+
+def overlaid(metadata: Column, source: Column, provider: str) -> Column:
+    """JSON metadata of a finding with its chunk's own laid over it, and the provider's name where none is given.
+
+    Values keep their types; a null or broken object counts as empty.
+    """
+    return _overlaid(metadata, source, F.lit(provider))
+
+
+@pandas_udf(StringType())
+def _overlaid(metadata: pd.Series, source: pd.Series, provider: pd.Series) -> pd.Series:
+    def one(own: str | None, over: str | None, name: str) -> str:
+        out = _object(own) | _object(over)
+        out.setdefault(PROVIDER, name)
+        return json.dumps(out, ensure_ascii=False)
+
+    return pd.Series([one(*x) for x in zip(metadata, source, provider, strict=True)], dtype=object)
+
+
+def _object(text: str | None) -> dict:
+    try:
+        found = json.loads(text) if text else {}
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def scoped_metadata(name: str, metadata: dict) -> dict:
+    """An entity's metadata without its document's fields, in any case of letters; a title that is text becomes the
+    entity's name, and provenance stays."""
+    out = {k: v for k, v in metadata.items() if k.lower() not in DOCUMENT_FIELDS}
+    if isinstance(metadata.get("title"), str):
+        out["title"] = name
+    return out
+
+
+@pandas_udf(StringType())
+def scoped(names: pd.Series, metadata: pd.Series) -> pd.Series:
+    """scoped_metadata over columns of names and JSON objects."""
+    return pd.Series([json.dumps(scoped_metadata(n, _object(m)), ensure_ascii=False) for n, m in zip(names, metadata, strict=True)], dtype=object)
+
+
+def composite(chunks: DataFrame, providers: list[tuple[str, Provider]], domain: str, thresholds: dict[str, float] | None = None, metadata_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and facts of all providers (name, provider) in turn, published by confidence.
+
+    Each finding carries its chunk's metadata over its own and the provider's name; an error of any provider ends the
+    job, so there are no partial results. Without providers there is nothing.
+    """
+    spark = chunks.sparkSession
+    if not providers:
+        return spark.createDataFrame([], ENTITY), spark.createDataFrame([], FACT)
+    bag = chunks.select(F.col("chunk_id").alias("id"), (F.col(metadata_col) if metadata_col else F.lit(None).cast("string")).alias("source"))
+    found: list[list[DataFrame]] = [[], []]
+    for name, provider in providers:
+        answers = by_provider(chunks, provider, domain).select("id", "answer")
+        for k, rows in enumerate(parsed(answers, domain)):
+            found[k].append(rows.join(bag, "id").withColumn("metadata", overlaid(F.col("metadata"), F.col("source"), name)).select(rows.columns))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return published(union(found[0]), union(found[1]), thresholds)
+
+
 def published(entities: DataFrame, facts: DataFrame, thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities at or above their domain's threshold (0.85 by default), and facts of a chunk both of whose ends stay."""
     least = F.coalesce(*(F.when(F.col("domain") == d, F.lit(float(t))) for d, t in (thresholds or {}).items()), F.lit(AUTO_PUBLISH))

@@ -11,6 +11,8 @@ from millrace.functions.text import normalize
 from millrace.runtime import materialize
 
 DEPTH, MAX_DEPTH, NODES = 5, 10, 1000
+#: Nodes reached so far up to which a walk broadcasts them; beyond, they are shuffled.
+BROADCAST = 100_000
 
 
 def nodes(entities: DataFrame) -> DataFrame:
@@ -86,9 +88,10 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
     walks = steps(graph_edges, options)
     homes = graph.select(F.col("id").alias("node"), "domain_key")
     seen = spark.createDataFrame([(start, 0)], "id bigint, depth int")
-    frontier, found = seen, None
+    frontier, found, size = seen, None, 1
     for depth in range(1, depth_limit + 1):
-        reached = walks.join(F.broadcast(frontier.select(F.col("id").alias("parent"))), "parent").join(F.broadcast(seen.select(F.col("id").alias("node"))), "node", "left_anti")
+        small = F.broadcast if size <= BROADCAST else (lambda df: df)
+        reached = walks.join(small(frontier.select(F.col("id").alias("parent"))), "parent").join(small(seen.select(F.col("id").alias("node"))), "node", "left_anti")
         inside = reached.join(homes, "node").filter((F.col("domain_key") == origin["domain_key"]) | (F.col("kind") == "link"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy("parent", "order", "from_id", "to_id", "relation"))
         first = inside.withColumn("r", rank).filter("r = 1")
@@ -96,7 +99,7 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
         n = level.count()
         if not n:
             break
-        room -= n
+        room, size = room - n, size + n
         frontier = level.select(F.col("node").alias("id"), "depth")
         seen = seen.unionByName(frontier)
         step = level.select("from_id", "to_id", "relation", "kind", "depth")
@@ -106,6 +109,35 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
     return seen, found if found is not None else spark.createDataFrame([], "from_id bigint, to_id bigint, relation string, kind string, depth int")
 
 
+def traverse_many(graph: DataFrame, graph_edges: DataFrame, starts: DataFrame, options: Options = Options()) -> DataFrame:
+    """(origin, from_id, to_id, relation, kind, depth): the discovery edges of traverse() from each id of the one-column
+    table starts, all walked level by level together; ids that are no node have none."""
+    spark = graph.sparkSession
+    depth_limit = min(options.max_depth or DEPTH, MAX_DEPTH)
+    room = (options.max_nodes or NODES) - 1
+    walks, homes = steps(graph_edges, options), graph.select(F.col("id").alias("node"), "domain_key")
+    origins = graph.join(starts.toDF("id").distinct(), "id", "left_semi").select(F.col("id").alias("origin"), F.col("domain_key").alias("home"))
+    seen = frontier = materialize(origins.select("origin", "home", F.col("origin").alias("node")), "origins")
+    found = None
+    for depth in range(1, depth_limit + 1):
+        reached = walks.join(frontier.withColumnRenamed("node", "parent"), "parent").join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        inside = reached.join(homes, "node").filter((F.col("domain_key") == F.col("home")) | ((F.col("kind") == "link") & F.lit(options.follow_links)))
+        first = F.row_number().over(Window.partitionBy("origin", "node").orderBy("parent", "order", "from_id", "to_id", "relation"))
+        level = inside.withColumn("r", first).filter("r = 1")
+        # what exceeds the bound of an origin ends its walk
+        used = seen.groupBy("origin").agg((F.count("*") - 1).alias("used"))
+        place = F.row_number().over(Window.partitionBy("origin").orderBy("parent", "order", "from_id", "to_id", "relation"))
+        level = level.withColumn("place", place).join(used, "origin").filter(F.col("used") + F.col("place") <= room)
+        level = materialize(level.select("origin", "home", "node", "from_id", "to_id", "relation", "kind", F.lit(depth).alias("depth")), "level")
+        if level.isEmpty():
+            break
+        frontier = level.select("origin", "home", "node")
+        seen = seen.unionByName(frontier)
+        step = level.select("origin", "from_id", "to_id", "relation", "kind", "depth")
+        found = step if found is None else found.unionByName(step)
+    return found if found is not None else spark.createDataFrame([], "origin bigint, from_id bigint, to_id bigint, relation string, kind string, depth int")
+
+
 def path_exists(graph: DataFrame, graph_edges: DataFrame, start: int, end: int, depth: int, direction: str = "both") -> bool:
     """Whether end lies within depth steps of start, with links followed; a node reaches itself; depth is cut to 0..10."""
     depth = max(0, min(depth, MAX_DEPTH))

@@ -43,6 +43,26 @@ def reset_errors(tasks: DataFrame, prefix: str = "", now: int = 0) -> DataFrame:
     return tasks.withColumn("attempts", F.when(hit, 0).otherwise(F.col("attempts"))).withColumn("next_attempt_at", F.when(hit, now).otherwise(F.col("next_attempt_at"))).withColumn("status", F.when(hit, "pending").otherwise(F.col("status")))
 
 
+def status_counts(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def listed(tasks: DataFrame, source: str = "", status: str = "") -> DataFrame:
+    """Tasks by id; a source keeps those whose identity begins with it, a status those that have it."""
+    out = tasks.filter(F.startswith("identity", F.lit(source))) if source else tasks
+    return (out.filter(F.col("status") == status) if status else out).orderBy("id")
+
+
+def finished(tasks: DataFrame, done: DataFrame, broken: DataFrame, now: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The queue after tasks ran: those of the ids in done are done, deletions among them gone; those of the ids in
+    broken have failed once more; the rest stay as they are."""
+    marked = tasks.join(done.toDF("id").distinct().withColumn("_did", F.lit(True)), "id", "left").join(broken.toDF("id").distinct().withColumn("_broke", F.lit(True)), "id", "left")
+    left = marked.filter(~(F.col("_did").isNotNull() & (F.col("type") == "doc:delete")))
+    again = failed(left.filter("_broke"), now, max_attempts)
+    rest = left.filter("_broke is null").withColumn("status", F.when(F.col("_did"), "done").otherwise(F.col("status")))
+    return rest.unionByName(again.select(rest.columns)).select(tasks.columns)
+
+
 def reconcile(disk: DataFrame, documents: DataFrame, tasks: DataFrame) -> DataFrame:
     """(path, action): index, delete, unchanged or cancel_delete for each path on disk or known.
 
@@ -108,27 +128,33 @@ def cascaded(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def clear_document(t: dict[str, DataFrame], doc: int) -> dict[str, DataFrame]:
-    """The tables without a document's content: its sources, the facts they alone held (approved ones too), its chunks,
-    and the entities among its own that no source and no fact holds any more. Weights follow the sources that are left."""
-    out = dict(t)
-    mine = F.col("document_id") == doc
-    touched_facts = t["fact_sources"].filter(mine).select(F.col("fact_id").alias("id")).distinct()
-    touched_entities = t["entity_sources"].filter(mine).select(F.col("entity_id").alias("id")).distinct()
-    out["fact_sources"], out["entity_sources"] = t["fact_sources"].filter(~mine), t["entity_sources"].filter(~mine)
+def clear_documents(t: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the content of documents (one column of ids): their sources, the facts they alone held
+    (approved ones too), their chunks, and the entities among their own that no source and no fact holds any more.
+    Weights follow the sources that are left; the documents' own rows stay."""
+    out, docs = dict(t), gone.toDF("document_id").distinct()
+    touched = lambda name, column: t[name].join(docs, "document_id", "left_semi").select(F.col(column).alias("id")).distinct()
+    touched_facts, touched_entities = touched("fact_sources", "fact_id"), touched("entity_sources", "entity_id")
+    for name in ("fact_sources", "entity_sources"):
+        out[name] = t[name].join(docs, "document_id", "left_anti").select(t[name].columns)
     dead = touched_facts.join(out["fact_sources"].select(F.col("fact_id").alias("id")), "id", "left_anti")
     facts = t["facts"].join(dead, "id", "left_anti")
     if "weight" in facts.columns:
         weight = out["fact_sources"].groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("__w"))
         again = facts.join(touched_facts.withColumn("__t", F.lit(True)), "id", "left").join(weight, "id", "left")
-        facts = again.withColumn("weight", F.when(F.col("__t"), F.coalesce("__w", F.lit(0))).otherwise(F.col("weight"))).select(t["facts"].columns)
-    out["facts"] = facts
-    out["chunks"] = t["chunks"].filter(F.col("doc_id") != doc)
+        facts = again.withColumn("weight", F.when(F.col("__t"), F.coalesce("__w", F.lit(0))).otherwise(F.col("weight")))
+    out["facts"] = facts.select(t["facts"].columns)
+    out["chunks"] = t["chunks"].join(docs.select(F.col("document_id").alias("doc_id")), "doc_id", "left_anti").select(t["chunks"].columns)
     lost = orphan_entities(t["entities"].join(touched_entities, "id", "left_semi"), out["entity_sources"], out["facts"])
-    out["entities"] = t["entities"].join(lost.select("id"), "id", "left_anti")
+    out["entities"] = t["entities"].join(lost.select("id"), "id", "left_anti").select(t["entities"].columns)
     return cascaded(out)
 
 
+def clear_document(t: dict[str, DataFrame], doc: int) -> dict[str, DataFrame]:
+    """clear_documents of one document."""
+    return clear_documents(t, t["chunks"].sparkSession.createDataFrame([(doc,)], "document_id bigint"))
+
+
 def under_root(path: str, root: str):
     """Whether a path column lies inside a folder."""
     return F.startswith(path, F.lit(root.rstrip("/") + "/"))
@@ -138,10 +164,26 @@ def cleared_source(documents: DataFrame, root: str) -> DataFrame:
     return documents.filter(~under_root("original_path", root))
 
 
-def debounced(events: DataFrame, quiet: int = 30, time_col: str = "ts") -> DataFrame:
-    """(start, end, n, paths): batches of changes with no gap of `quiet` seconds or more inside; batch or streaming."""
-    window = F.session_window(time_col, f"{quiet} seconds")
-    return events.groupBy(window).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths")).select("session_window.start", "session_window.end", "n", "paths")
+def debounced(events: DataFrame, quiet: int = 30, time_col: str = "ts", with_paths: bool = True) -> DataFrame:
+    """(start, end, n, and with with_paths the distinct paths): batches of changes with no gap above `quiet` seconds.
+
+    A stream uses session windows. A table is first combined by cells of `quiet` seconds, in each of which all changes
+    belong together, map-side; only the cells, whose number the time span bounds, are then ordered in one task.
+    """
+    paths = [F.array_sort(F.collect_set("path")).alias("paths")] if with_paths else []
+    if events.isStreaming:
+        window = F.session_window(time_col, f"{quiet} seconds")
+        return events.groupBy(window).agg(F.count("*").alias("n"), *paths).select("session_window.start", "session_window.end", "n", *(["paths"] if with_paths else []))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sets = [F.collect_set("path").alias("paths")] if with_paths else []
+    known = events.filter(F.col(time_col).isNotNull())
+    cells = known.groupBy(F.floor(micros(time_col) / F.lit(quiet * 1_000_000)).alias("cell")).agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"), F.count("*").alias("n"), *sets)
+    order = Window.orderBy("cell")
+    apart = F.coalesce((micros("lo") - F.lag(micros("hi")).over(order) > quiet * 1_000_000).cast("int"), F.lit(1))
+    batch = cells.withColumn("apart", apart).withColumn("batch", F.sum("apart").over(order))
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths")] if with_paths else []
+    out = batch.groupBy("batch").agg(F.min("lo").alias("start"), (F.max("hi") + F.expr(f"interval {quiet} seconds")).alias("end"), F.sum("n").alias("n"), *merged)
+    return out.drop("batch")
 
 
 def latest_tasks(tasks: DataFrame) -> DataFrame:

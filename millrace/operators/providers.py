@@ -44,10 +44,21 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.array(x, float), where=norm > 1e-9)
 
 
+#: Tokens of a text that a model reads; the rest is cut off.
+MAX_TOKENS = 512
+
+
+def cut_tokens(text: str, spans: Callable[[str], list[tuple[int, int]]], limit: int = MAX_TOKENS) -> str:
+    """The text up to the end of its token number `limit`; spans gives the places of its tokens."""
+    found = spans(text)
+    return text if len(found) <= limit else text[: found[limit - 1][1]]
+
+
 def embed(texts: DataFrame, embedder: Embedder, cache: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "search_text") -> DataFrame:
     """(chunk_id, key, embedding): unit vectors, the first dim values of each; keys known to cache are not asked for.
 
-    Equal texts are embedded once: the texts' keys are made distinct before the provider runs.
+    Equal texts are embedded once: the texts' keys are made distinct before the provider runs. An embedder with a
+    method spans(text), the places of its tokens, gets each text cut to its MAX_TOKENS; keys are of whole texts.
     """
     key = F.sha2(F.concat(F.lit(f"{embedder.name}|{embedder.dim}|"), F.col(text_col)), 256)
     rows = texts.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"), key.alias("key"))
@@ -57,7 +68,9 @@ def embed(texts: DataFrame, embedder: Embedder, cache: DataFrame | None = None,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            v = unit_rows(np.asarray(embedder.embed(list(f["text"])))[:, : embedder.dim])
+            spans = getattr(embedder, "spans", None)
+            asked = [cut_tokens(t, spans) for t in f["text"]] if spans else list(f["text"])
+            v = unit_rows(np.asarray(embedder.embed(asked))[:, : embedder.dim])
             yield pd.DataFrame({"key": f["key"], "embedding": list(v.astype(np.float32))})
 
     made = todo.mapInPandas(run, "key string, embedding array<float>")

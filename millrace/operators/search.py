@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import fusion, lexical, vectors
+from millrace.operators import fusion, graph, lexical, vectors
 
 TOP_K = 10
 
@@ -41,15 +41,15 @@ def with_entities(results: DataFrame, chunk_entities: DataFrame, entities: DataF
     return results.join(lists, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(lists.schema["entities"].dataType)))
 
 
-def expand(results: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """results with related_entities: for each of their entities its edges to neighbours and its approved facts.
-
-    One step of the graph for all results at once; traverse() gives deeper neighbourhoods of single nodes.
-    """
+def expand(results: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, options: graph.Options = graph.Options()) -> DataFrame:
+    """results with related_entities: for each of their entities that is a node, the edges of its neighbourhood, walked
+    breadth-first within its domain, and its approved facts. All entities are walked together."""
     wanted = results.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", F.col("e.id").alias("entity_id"))
+    wanted = wanted.join(nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     ids = F.broadcast(wanted.select("entity_id").distinct())
     ends = lambda df, a, b: df.withColumn("entity_id", F.explode(F.array_distinct(F.array(a, b)))).join(ids, "entity_id", "left_semi")
-    near = ends(edges, "from_id", "to_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id", "relation", "kind"))).alias("edges"))
+    walked = graph.traverse_many(nodes, edges, wanted.select("entity_id"), options).withColumnRenamed("origin", "entity_id")
+    near = walked.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("depth", "from_id", "to_id", "relation", "kind"))).alias("edges"))
     known = ends(facts.filter(F.col("status") == "approved"), "subject_entity_id", "object_entity_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("subject_entity_id", "predicate", "object_entity_id"))).alias("facts"))
     each = wanted.join(near, "entity_id", "left").join(known, "entity_id", "left")
     lists = each.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "edges", "facts"))).alias("related_entities"))

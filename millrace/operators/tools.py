@@ -52,7 +52,7 @@ class Tools:
             warnings.warn(f"domain {domain} is unknown", stacklevel=2)
         found = search.hybrid(t["chunks"], t["documents"], t["vectors"], query, self.embed, self.as_of, top_k, domain, settings)
         named = search.with_entities(found, t["chunk_entities"], t["entities"])
-        return search.expand(named, self._graph()[1], t["facts"])
+        return search.expand(named, *self._graph(), t["facts"])
 
     def catalog_overview(self) -> DataFrame:
         t = self.tables

@@ -82,6 +82,29 @@ def stale_share(log: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("rows"), F.count_if("stale").alias("stale")).withColumn("compact", F.col("stale") * 100 > F.col("rows") * 30)
 
 
+def compacted(log: DataFrame) -> DataFrame:
+    """The log without superseded and deleted rows, which is also what a reopened index starts from; a store publishes
+    it as one version, so readers see the old log or this one."""
+    return latest(log).select("chunk_id", "version", F.lit(False).alias("deleted"), "embedding")
+
+
+def maybe_compacted(log: DataFrame) -> tuple[DataFrame, bool]:
+    """The compacted log where stale rows pass 30 % of it, else the log itself; and which of the two."""
+    due = bool(stale_share(log).first()["compact"])
+    return (compacted(log) if due else log), due
+
+
+def ids(log: DataFrame) -> DataFrame:
+    """Ids of live vectors, each once; their number is its count()."""
+    return latest(log).select("chunk_id")
+
+
+def rebuilt(rows: DataFrame) -> DataFrame:
+    """A new log of (chunk_id, embedding) rows alone, all of the first version; of repeated ids one row stays."""
+    once = rows.groupBy("chunk_id").agg(F.max("embedding").alias("embedding"))
+    return once.select("chunk_id", F.lit(1).cast("bigint").alias("version"), F.lit(False).alias("deleted"), "embedding")
+
+
 def appended(log: DataFrame, rows: DataFrame, deleted: bool = False) -> DataFrame:
     """The log with rows (chunk_id, embedding) added, or deletions of (chunk_id) rows, one version above the last."""
     top = log.agg(F.coalesce(F.max("version"), F.lit(0)).alias("top"))

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; a batch always holds one row at least.
 ARROW_BATCH_BYTES = 8 << 20
@@ -38,6 +39,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, column: str, start: int, order: list[str]) -> DataFrame:
+    """df with consecutive numbers from start + 1 in the given order, written to the shared folder.
+
+    Rows are sorted by range partitions, and each number is the rows of the partitions before plus the place within
+    its own: no task holds all rows; the driver gets one count a partition.
+    """
+    spark = df.sparkSession
+    place = fresh([*df.columns, column], "place")
+    dealt = df.repartitionByRange(*map(quoted, order)).sortWithinPartitions(*map(quoted, order)) if order else df
+    rows = materialize(dealt.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(place, 33)
+    sizes = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+    before, at = [], start
+    for k in sorted(sizes):
+        before.append((k, at))
+        at += sizes[k]
+    offsets = spark.createDataFrame(before, f"{place}_part bigint, {place}_before bigint")
+    number = F.col(f"{place}_before") + 1 + F.col(place).bitwiseAND((1 << 33) - 1)
+    joined = rows.join(F.broadcast(offsets), part == F.col(f"{place}_part"))
+    return joined.withColumn(column, number).select(*map(quoted, df.columns), column)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by materialize that nothing reads any more."""
     path = getattr(df, "_millrace_path", None)
