@@ -95,12 +95,27 @@ def _features(text: str, m: Mention) -> list[str]:
     return [f"digits={min(len(_digits(value)), 20)}", f"marks={''.join(sorted({c for c in value if not c.isalnum()}))[:6]}", f"word={before[1].lower() if before else ''}", f"letters={any(c.isalpha() for c in value)}"]
 
 
-def mentions(text: str, spans: list[Span]) -> list[Mention]:
+@dataclass
+class Known:
+    """What the base spans of a document are: mail names and the address of each, whole digits, keys and their kinds."""
+
+    names: dict[str, str]
+    equal: set[str]
+    kinds: dict[str, int]
+
+    @staticmethod
+    def of(text: str, spans: list[Span]) -> Known:
+        names = {text[s:e].partition("@")[0].lower(): text[s:e].lower() for s, kind, e in spans if kind == 0}
+        return Known(names, {_digits(text[s:e]) for s, kind, e in spans if kind}, {_key(text[s:e]): kind for s, kind, e in spans})
+
+
+def mentions(text: str, spans: list[Span], known: Known | None = None) -> list[Mention]:
     """Nodes of a document's field in order: base spans, and numbers, spelt-out addresses and mail names outside them.
 
     A number whose digits, or a name whose letters, equal those of a base span is always one. Other numbers need enough
-    digits to be similar to a base span by their end.
+    digits to be similar to a base span by their end. known holds the base spans to compare with, these by default.
     """
+    known = known or Known.of(text, spans)
     out = [Mention(s, e, _key(text[s:e]), kind) for s, kind, e in spans]
     covered = sorted((s, e) for s, _, e in spans)
     starts, reach = [s for s, _ in covered], []
@@ -111,7 +126,7 @@ def mentions(text: str, spans: list[Span]) -> list[Mention]:
         k = bisect_right(starts, s)
         return (not k or reach[k - 1] <= s) and (k == len(starts) or starts[k] >= e)
 
-    names = {text[s:e].partition("@")[0].lower(): text[s:e].lower() for s, kind, e in spans if kind == 0}
+    names = known.names
     if names:
         for m in _NAMES.finditer(text):
             # a run may end a sentence or stand between dashes
@@ -120,7 +135,7 @@ def mentions(text: str, spans: list[Span]) -> list[Mention]:
                 if (key := names.get(name.lower())) and free(start, start + len(name)):
                     out.append(Mention(start, start + len(name), key))
                     break
-    equal = {_digits(text[s:e]) for s, kind, e in spans if kind}
+    equal = known.equal
     for m in _NUMBER.finditer(text):
         digits = _digits(m[0])
         if (digits in equal or (m.end() - m.start() <= 48 and TAIL <= len(digits) <= 19)) and free(m.start(), m.end()):
@@ -165,21 +180,37 @@ def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[in
     return chain, list(skip)
 
 
+def grade(text: str, m: Mention, known: Known) -> str:
+    """How a mention is like the base spans of its key: by a mail name, whole digits, the last digits or an address, and
+    how telling that is by itself: the length and make of the name, or the number of digits."""
+    value = text[m.start : m.end]
+    if "@" in m.key:
+        if value.lower() in known.names:
+            return f"name {min(len(value), 9)} {'letters' if value.isalpha() else 'mixed'}"
+        return "address"
+    digits = _digits(value)
+    return f"{'whole' if digits in known.equal else 'end'} {min(len(digits), 12)}"
+
+
 @dataclass
 class Potentials:
-    """Log potentials over the labels none and KINDS."""
+    """Log potentials over the labels none and KINDS; grades has how much mentions alike in some way share, skip that of
+    other ways."""
 
     feature: dict[str, np.ndarray]
     prior: np.ndarray
     chain: np.ndarray
     skip: float
+    grades: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
     def of(counts: Counter) -> Potentials:
-        """From counts of ("label", l), ("f", feature, l), ("chain", l, m) and ("skip", same): log ratios, add-one smoothed.
+        """From counts of ("label", l), ("f", feature, l), ("chain", l, m), ("skip", same), ("own", grade) and ("other",
+        grade): log ratios, add-one smoothed.
 
-        Mentions outside the base patterns count as none. How much similar mentions share is the log odds that linked
-        mentions of known label agree.
+        Mentions like no base span count as none. How much mentions alike share starts from the log odds that linked
+        base mentions agree, and is fitted for each grade to how often such mentions stand in a document of the base
+        span (own) against one without it (other): what is found as often elsewhere tells nothing.
         """
         n = len(KINDS) + 1
         label = np.array([counts["label", k] for k in range(n)], float) + 1
@@ -188,7 +219,13 @@ class Potentials:
         chain = np.array([[counts["chain", a, b] for b in range(n)] for a in range(n)]) + 1.0
         chain = np.log(chain / chain.sum()) - np.log(np.outer(chain.sum(axis=1), chain.sum(axis=0)) / chain.sum() ** 2)
         skip = float(np.clip(np.log((counts["skip", 1] + 20) / (counts["skip", 0] + 1)), 1.0, 8.0))
-        return Potentials({f: v - v[0] for f, v in feature.items()}, np.log(label / label[0]), np.clip(chain, -1, 1), skip)
+        ways = {k[1] for k in counts if k[0] in ("own", "other")}
+        grades = {g: float(np.clip(np.log((counts["own", g] + np.exp(skip)) / (counts["other", g] + 1)), 0.0, 8.0)) for g in ways}
+        return Potentials({f: v - v[0] for f, v in feature.items()}, np.log(label / label[0]), np.clip(chain, -1, 1), skip, grades)
+
+    def alike(self, ways: list[str]) -> np.ndarray:
+        """The table of a skip edge for each way in which its mention is alike."""
+        return np.array([self.grades.get(g, self.skip) for g in ways])[:, None, None] * np.eye(len(KINDS) + 1)
 
     def unary(self, m: Mention) -> np.ndarray:
         """A base mention keeps its label, however many like it speak against. The shape of another speaks against any label by half a unit at least, so
@@ -230,31 +267,50 @@ def added_spans(text: str, spans: list[Span], potentials: Potentials) -> list[Sp
     """Spans that the field gives a label beyond the base ones; none without a base span to be similar to."""
     if not spans:
         return []
-    nodes = mentions(text, spans)
-    if all(m.base >= 0 for m in nodes):
+    known = Known.of(text, spans)
+    nodes = mentions(text, spans, known)
+    if all(m.base >= 0 or m.key not in known.kinds for m in nodes):
         return []
-    chain, skip = edges_of(nodes)
-    n = len(KINDS) + 1
-    alike = np.where(np.eye(n, dtype=bool), potentials.skip, 0.0)
-    pairs = np.array(chain + skip).reshape(-1, 2)
-    tables = np.concatenate([np.repeat(potentials.chain[None], len(chain), 0), np.repeat(alike[None], len(skip), 0)])
-    posterior = propagate(np.array([potentials.unary(m) for m in nodes]), pairs, tables)
+    posterior = propagate(*field_of(text, nodes, known, potentials))
     best = posterior.argmax(axis=1)
     return [(m.start, int(best[k]) - 1, m.end) for k, m in enumerate(nodes) if m.base < 0 and best[k] and posterior[k, best[k]] > 0.5]
 
 
+def field_of(text: str, nodes: list[Mention], known: Known, potentials: Potentials) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unary potentials, pairs and pair tables of a document. A skip edge weighs as much as its weaker mention is alike."""
+    chain, skip = edges_of(nodes)
+    ways = ["" if m.base >= 0 else grade(text, m, known) for m in nodes]
+    share = lambda a, b: min((w for w in (ways[a], ways[b]) if w), key=lambda w: potentials.grades.get(w, potentials.skip), default="")
+    pairs = np.array(chain + skip).reshape(-1, 2)
+    tables = np.concatenate([np.repeat(potentials.chain[None], len(chain), 0), potentials.alike([share(a, b) for a, b in skip]).reshape(-1, len(KINDS) + 1, len(KINDS) + 1)])
+    return np.array([potentials.unary(m) for m in nodes]), pairs, tables
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Potentials:
-    """Potentials counted on all documents, whole texts; the driver gets the counts."""
+    """Potentials counted on all documents, whole texts; the driver gets the counts.
+
+    Each document with base spans is compared with the document read before it in its task as well: mentions there that
+    are like a base span which that document does not hold are chance.
+    """
     bound_batches(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+        before = ""
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                other, before = before, text
                 if not (spans := base_spans(text)):
                     continue
-                nodes = mentions(text, spans)
+                known = Known.of(text, spans)
+                nodes = mentions(text, spans, known)
+                found.update(("own", grade(text, m, known)) for m in nodes if m.base < 0 and m.key in known.kinds)
+                theirs = base_spans(other)
+                held = Known.of(other, theirs).kinds
+                found.update(("other", grade(other, m, known)) for m in mentions(other, theirs, known) if m.base < 0 and m.key in known.kinds and m.key not in held)
+                # a mention like a base span may be one of its kind: it is no example of none
+                nodes = [m for m in nodes if m.base >= 0 or m.key not in known.kinds]
                 chain, skip = edges_of(nodes)
                 for m in nodes:
                     found["label", m.base + 1] += 1
@@ -268,7 +324,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Potentials:
     counts: Counter = Counter()
     for key, n in zip(table["key"].to_pylist(), table["n"].to_pylist(), strict=True):
         name, *rest = key.split("\x00")
-        counts[(name, rest[0], int(rest[1])) if name == "f" else (name, *map(int, rest))] = n
+        counts[(name, rest[0], int(rest[1])) if name == "f" else (name, rest[0]) if name in ("own", "other") else (name, *map(int, rest))] = n
     return Potentials.of(counts)
 
 
