@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language, mixing, pieces, pii, simhash
-from millrace.runtime import materialize
+from millrace.runtime import discard, materialize
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; every document stays, n_chars follows its text."""
+    """Masks personal data; every document stays, n_chars, where there is one, follows its text."""
     clean = pii.redact(docs, pii.train(docs))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,23 +34,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take(docs)
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-
-
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text, the digest of what they decode to, and whether that is the text again."""
+    """Adds the ids of each text, the digest of what they decode to, and whether that is the text again; columns of
+    docs by those names give way."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), checked=True)
 
 
-#: Each stage alone; run() ends with coded, which is the last one and its decoding.
+#: Each takes what the one before kept.
 STAGES = [
     ("language", known_languages),
     ("near-duplicates", one_of_each),
     ("private data", private_data),
     ("mixing", mixed),
-    ("pieces", encoded),
+    ("pieces", coded),
 ]
 
 #: SQL can express neither the language models nor the encoding.
@@ -58,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return coded(spark, docs, sf_dir)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
