@@ -17,7 +17,7 @@ def test_stages_follow_one_another(spark):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, sf).cache()
         kept.append(docs.count())
-        assert docs.columns == (columns if k < 4 else [*columns, "ids"]), name
+        assert docs.columns == (columns if k < 4 else [*columns, "ids", "decoded_sha256", "round_trip"]), name
         if name == "private data":
             assert kept[-1] == kept[-2] and not any(re.search(r"@mail\d", r["text"]) for r in docs.collect())
         if name == "near-duplicates":
@@ -47,3 +47,27 @@ def test_the_pipeline_decodes_what_it_encodes(spark):
     for r in got:
         back = codec.decode(pieces.np.array(r["ids"], "<i4").tobytes())
         assert back == (r["text"] or "").replace(pieces.SPACE, " ") and r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("extra", [{}, {"n_chars": None}])
+def test_odd_tables(spark, tmp_path, extra):
+    """Nulls in every column, empty and long texts, copies, repeated rows, and columns by the names that stages use."""
+    words = [" ".join(f"w{chr(97 + (k * j) % 26)}{chr(97 + j % 26)}" for j in range(1, 60)) for k in range(12)]
+    texts = [None, "", " \n", words[0], words[0], *words[1:], "long " * 60_000, "mail joe.x1@host.example and joe.x1"]
+    rows = [(k if k != 7 else None, t, None if k == 3 else "aa", None if k == 5 else f"s{k % 3}", "ids", 1, "key", 2) for k, t in enumerate(texts)] * 2
+    schema = "doc_id long, text string, lang string, source string, ids string, size int, key string, n int"
+    spark.createDataFrame([(*r, *extra.values()) for r in rows], schema + "".join(f", {c} long" for c in extra)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r["round_trip"] for r in got) and not any("@" in r["text"] for r in got)
+    assert {r["text"] for r in got} <= {pii_masked(t) for t in texts if t and t.strip()}
+    if extra:
+        assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def pii_masked(text):
+    return text.replace("joe.x1@host.example", "<EMAIL>").replace("joe.x1", "<EMAIL>")
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
