@@ -33,7 +33,7 @@ EMPTY = {
 
 def tables(store: Store) -> dict[str, DataFrame]:
     have = store.manifest()
-    return {n: store.read(n) if n in have else store.spark.createDataFrame([], s) for n, s in EMPTY.items()}
+    return {n: store.spark.read.parquet(f"{store.root}/{have[n]}") if n in have else store.spark.createDataFrame([], s) for n, s in EMPTY.items()}
 
 
 def _top(df: DataFrame, column: str) -> int:

@@ -35,8 +35,11 @@ class Store:
         found = self.versions()
         if not found:
             return {}
-        lines = self.spark.read.text(f"{self.root}/manifests/{version or found[-1]:08d}.json").collect()
-        return json.loads("".join(r[0] for r in lines))
+        stream = self._fs().open(self._path(f"manifests/{version or found[-1]:08d}.json"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """The new version: the last one with the given tables replaced."""

@@ -276,3 +276,102 @@ def test_quotes(spark):
     df = spark.createDataFrame(cases, "t string, s string, o string, want string")
     got = df.select("want", extract.quote(F.col("t"), F.col("s"), F.col("o")).alias("q")).collect()
     assert [r["q"] for r in got] == [r["want"] for r in got]
+
+
+def test_providers_in_turn_overlay_metadata_and_publish(spark):
+    class Fixed:
+        def __init__(self, confidence):
+            self.confidence = confidence
+
+        def answer(self, text, domain):
+            import json
+
+            names = [{"name": w, "type": "t", "confidence": self.confidence, "attributes": {"k": "own", "x": 1}} for w in text.split()]
+            return json.dumps({"entities": names, "relations": [{"subject_type": "t", "subject_name": "a", "predicate": "p", "object_type": "t", "object_name": "b"}]})
+
+    from millrace.operators import extract
+
+    chunks = spark.createDataFrame([(1, "a b", '{"k": "chunk"}'), (2, "a", None), (3, "b", "broken")], "chunk_id long, search_text string, metadata string")
+    entities, facts = extract.composite(chunks, [("sure", Fixed(0.9)), ("unsure", Fixed(0.2))], "d", metadata_col="metadata")
+    got = sorted((r["id"], r["name"], r["metadata"]) for r in entities.collect())
+    assert got == [(1, "a", '{"k": "chunk", "x": 1, "provider": "sure"}'), (1, "b", '{"k": "chunk", "x": 1, "provider": "sure"}'), (2, "a", '{"k": "own", "x": 1, "provider": "sure"}'), (3, "b", '{"k": "own", "x": 1, "provider": "sure"}')]
+    assert [r["id"] for r in facts.filter("metadata like '%sure%'").collect()].count(1) == 2 and facts.filter("id <> 1").isEmpty()
+    none = extract.composite(chunks, [], "d")
+    assert none[0].isEmpty() and none[1].isEmpty()
+
+
+def test_entity_metadata_is_scoped(spark):
+    from millrace.operators import extract
+
+    assert extract.scoped_metadata("N", {"URL": 1, "image_paths": [], "space": "s", "title": "T"}) == {"space": "s", "title": "N"}
+    assert extract.scoped_metadata("N", {"title": 3, "categories": 1}) == {"title": 3}
+    df = spark.createDataFrame([("N", '{"url": "u", "title": "t"}'), ("M", None)], "name string, metadata string")
+    assert [r[0] for r in df.select(extract.scoped("name", "metadata")).collect()] == ['{"title": "N"}', "{}"]
+
+
+def test_embedding_reads_at_most_its_tokens(spark):
+    from millrace.operators.providers import MAX_TOKENS, HashEmbedder, embed
+
+    class Words(HashEmbedder):
+        def spans(self, text):
+            import re
+
+            return [m.span() for m in re.finditer(r"\S+", text)]
+
+    long = " ".join(["a"] * MAX_TOKENS)
+    df = spark.createDataFrame([(1, long), (2, long + " b c d")], "chunk_id long, search_text string")
+    got = {r["chunk_id"]: list(r["embedding"]) for r in embed(df, Words(8)).collect()}
+    assert got[1] == got[2]
+    plain = {r["chunk_id"]: list(r["embedding"]) for r in embed(df, HashEmbedder(8)).collect()}
+    assert plain[1] != plain[2]
+
+
+def test_merges_follow_one_another(spark):
+    from millrace.operators import linking
+
+    f = spark.createDataFrame
+    tables = {
+        "entities": f([(1, "t", "Ann", "d"), (2, "t", "Анна", "d"), (3, "t", "Анн", "d")], "id long, type string, name string, domain string"),
+        "facts": f([(7, 3, "knows", 9, "approved")], "id long, subject_entity_id long, predicate string, object_entity_id long, status string"),
+        "chunk_entities": f([(1, 3)], "chunk_id long, entity_id long"),
+        "entity_sources": f([(2, 1)], "entity_id long, document_id long"),
+        "entity_links": f([], "subject_entity_id long, target_entity_id long, relation_type string, method string, confidence double"),
+        "entity_aliases": f([], "entity_id long, alias string"),
+    }
+    sure = lambda pairs: pairs.selectExpr("a", "b", "true same_entity", "0.96D confidence")
+    links, merges = linking.build_links(tables["entities"], tables["entity_links"], tables["entity_sources"], linking.Linkers(("llm",), answers=sure))
+    assert links.isEmpty() and sorted((r["a"], r["b"], r["into"]) for r in merges.collect()) == [(1, 2, 2), (1, 3, 1)]
+    out, n = linking.merged(tables, merges)
+    assert n == 2 and [r["id"] for r in out["entities"].collect()] == [2]
+    assert out["facts"].first()["subject_entity_id"] == 2 and out["chunk_entities"].first()["entity_id"] == 2
+    with pytest.raises(ValueError, match="unknown method"):
+        linking.build_links(tables["entities"], tables["entity_links"], tables["entity_sources"], linking.Linkers(("guess",)))
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    from millrace.runtime import numbered
+
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as k", "'x' as place").repartition(7)
+    rows = numbered(df, "n", 10, ["k"]).collect()
+    assert sorted((r["n"], r["k"]) for r in rows) == [(11 + k, k) for k in range(1000)] and rows[0]["place"] == "x"
+    assert numbered(df.limit(0), "n", 0, ["k"]).count() == 0
+
+
+def test_hot_keys_join_like_others(spark):
+    from millrace.operators import skew
+
+    left = spark.range(5000).selectExpr("if(id < 4000, 1, id % 50) k", "id v")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", F.col("k") * 2)
+    got = skew.join_spread(left, right, "k", "n")
+    assert got.columns == ["k", "v", "w"] and got.count() == 5000 and got.filter("w <> 2 * k").isEmpty()
+    assert skew.join_spread(left.withColumn("k", F.when(F.col("v") % 2 == 0, F.col("k"))), right, "k", "n", "left").filter("w is null").count() == 2500
+
+
+def test_debounced_table_equals_session_windows(spark):
+    from millrace.operators.maintenance import debounced
+
+    rows = spark.range(3000).selectExpr("timestamp_seconds(id * 17 + if(id % 40 > 30, id * 11, 0)) ts", "concat('p', id % 5) path").unionAll(spark.sql("select cast(null as timestamp) ts, 'x' path"))
+    window = F.session_window("ts", "30 seconds")
+    want = rows.filter("ts is not null").groupBy(window).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths")).selectExpr("session_window.start", "session_window.end", "n", "paths")
+    assert sorted(map(tuple, debounced(rows).collect())) == sorted(map(tuple, want.collect()))
+    assert debounced(rows.limit(0)).count() == 0
