@@ -82,29 +82,46 @@ def candidate_tiers(mentions: DataFrame, entities: DataFrame, aliases: DataFrame
 
 @dataclass
 class Resolver:
-    """Ordered resolution inside one domain and type: what a mention creates or renames is seen by the next."""
+    """Ordered resolution inside one domain and type: what a mention creates or renames is seen by the next.
+
+    Entities are found by their keys and bigrams, so a mention is compared only with names that share one with it.
+    """
 
     threshold: float = THRESHOLD
     configured: dict[str, str] = field(default_factory=dict)
     names: dict[int, str] = field(default_factory=dict)
     aliases: dict[str, int] = field(default_factory=dict)
+    places: dict[tuple[str, str], set[int]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for i, name in self.names.items():
+            self._index(i, name)
+
+    @staticmethod
+    def _grams(key: str) -> set[str]:
+        return {key[j : j + 2] for j in range(len(key) - 1)} or {key}
+
+    def _keys(self, name: str) -> list[tuple[str, str]]:
+        n = normalize_py(name)
+        return [("m", match_key_py(name)), ("s", stem_key_py(name)), ("n", n), *(("g", g) for g in self._grams(n))]
+
+    def _index(self, i: int, name: str, old: str | None = None) -> None:
+        for k in self._keys(old) if old is not None else ():
+            self.places[k].discard(i)
+        for k in self._keys(name):
+            self.places.setdefault(k, set()).add(i)
 
     def find(self, name: str) -> tuple[int | None, int]:
-        m, s, n = match_key_py(name), stem_key_py(name), normalize_py(name)
-        for tier, key, of in ((1, m, match_key_py), (2, s, stem_key_py)):
-            hits = [i for i, k in self.names.items() if of(k) == key]
-            if hits:
+        n, at = normalize_py(name), self.places.get
+        for tier, key in ((1, ("m", match_key_py(name))), (2, ("s", stem_key_py(name)))):
+            if hits := at(key):
                 return min(hits), tier
-        if n in self.configured:
-            hits = [i for i, k in self.names.items() if normalize_py(k) == normalize_py(self.configured[n])]
-            if hits:
-                return min(hits), 3
+        if n in self.configured and (hits := at(("n", normalize_py(self.configured[n])))):
+            return min(hits), 3
         if n in self.aliases:
             return self.aliases[n], 4
-        grams = lambda k: {k[j : j + 2] for j in range(len(k) - 1)} or {k}
-        own = grams(n)
-        scores = [(-jaro_winkler_py(n, k), i) for i, k in sorted(self.names.items()) if own & grams(normalize_py(k))]
-        best = min(scores, default=(0.0, None))
+        met = set().union(*(at(("g", g), ()) for g in self._grams(n)))
+        best = min(((-jaro_winkler_py(n, self.names[i]), i) for i in met), default=(0.0, None))
         return (best[1], 5) if best[1] is not None and -best[0] >= self.threshold else (None, 0)
 
     def resolve(self, name: str, new_id: int) -> tuple[int, int]:
@@ -113,11 +130,13 @@ class Resolver:
         n = normalize_py(name)
         if found is None:
             self.names[new_id] = self.configured.get(n, name)
+            self._index(new_id, self.names[new_id])
             found = new_id
         elif len(name) > len(self.names[found]) and tier != 3:
-            old = normalize_py(self.names[found])
+            before = self.names[found]
             self.names[found] = name
-            self.aliases.setdefault(old, found)
+            self._index(found, name, before)
+            self.aliases.setdefault(normalize_py(before), found)
         if n != normalize_py(self.names[found]):
             self.aliases.setdefault(n, found)
         return found, tier
