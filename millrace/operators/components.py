@@ -9,18 +9,26 @@ from millrace.operators.skew import join_spread
 from millrace.runtime import discard, materialize
 
 
-def _larger_star(edges: DataFrame) -> DataFrame:
+#: Edges up to which a round joins plainly: that many narrow rows are light for one task, even if all share a node.
+LIGHT = 200_000
+
+
+def _meet(rows: DataFrame, least: DataFrame, key: str, light: bool) -> DataFrame:
+    return rows.join(least.drop("n"), key) if light else join_spread(rows, least, key, "n")
+
+
+def _larger_star(edges: DataFrame, light: bool = False) -> DataFrame:
     """Every neighbour above a node is hung on the least node of that neighbourhood."""
     both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "other")
     least = both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("n"))
-    hung = join_spread(both, least, "node", "n").filter(F.col("other") > F.col("node"))
+    hung = _meet(both, least, "node", light).filter(F.col("other") > F.col("node"))
     return hung.select(F.col("other").alias("hi"), F.least("m", "node").alias("lo")).distinct()
 
 
-def _smaller_star(edges: DataFrame) -> DataFrame:
+def _smaller_star(edges: DataFrame, light: bool = False) -> DataFrame:
     """A node and its lower neighbours are hung on the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-    moved = join_spread(edges, least, "hi", "n").filter(F.col("lo") != F.col("m"))
+    moved = _meet(edges, least, "hi", light).filter(F.col("lo") != F.col("m"))
     return moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -36,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = materialize(pairs.distinct(), "edges")
     seen = signature(now)
     for _ in range(max_rounds):
-        after = materialize(_smaller_star(_larger_star(now)), "edges")
+        light = seen[0] <= LIGHT
+        after = materialize(_smaller_star(_larger_star(now, light), light), "edges")
         discard(now)
         now = after
         mark = signature(now)

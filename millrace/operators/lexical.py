@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
 from millrace.functions.text import fold_py, tokens
-from millrace.runtime import materialize
+from millrace.runtime import discard, materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
@@ -166,13 +166,21 @@ def scored(chunks: DataFrame, query: str, text_col: str = "search_text") -> Data
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("avg")))
 
     score = -reduce(lambda a, b: a + b, (part(k) for k in range(len(phrases))))
-    return hit.select(*(c for c in chunks.columns if c != text_col), score.alias("bm25"))
+    out = hit.select(*(c for c in chunks.columns if c != text_col), score.alias("bm25"))
+    out._millrace_counts = counts
+    return out
 
 
 def search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, domain: str | None = None, id_col: str = "chunk_id", text_col: str = "search_text", domains_col: str = "domains") -> DataFrame:
     """(chunk_id, bm25) of the best matches, ties by id. A domain is normalized and compared with the stored values as
     they are; it filters rows after the statistics are taken."""
     found = scored(chunks.select(id_col, text_col, *([domains_col] if domain else [])), query, text_col)
+    counts = getattr(found, "_millrace_counts", None)
     if domain:
         found = found.filter(F.array_contains(domains_col, " ".join(domain.split()).lower()))
-    return found.select(F.col(id_col).alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(limited(limit))
+    best = found.select(F.col(id_col).alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(limited(limit))
+    # MAX_LIMIT rows at most; with them at hand the table of counts can go
+    rows = best.collect()
+    if counts is not None:
+        discard(counts)
+    return chunks.sparkSession.createDataFrame(rows, best.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize
 from millrace.operators.chunking import fixed_chunks
+from millrace.runtime import spread
 
 #: Where each kind of entity's ids begin.
 REGION, NATION, SUPPLIER, CUSTOMER, PART = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000, 5_000_000_000
@@ -19,7 +20,8 @@ class Model:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     def documents(self) -> DataFrame:
         labels = self.table("labels").select("doc_id", (F.col("quality") == 1).alias("is_official"), (F.col("toxic") == 1).alias("is_deprecated"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import catalog, chunking, extract, fusion, graph, lexical, linking, maintenance, resolve, search, vectors
 from millrace.plans.model import CUSTOMER, NATION, PART, REGION, Model, with_
+from millrace.runtime import materialize
 from millrace.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,8 +123,8 @@ _SETTINGS = search.Settings(boosts=fusion.Boosts(authority={"src1": 1.3, "src2":
 
 @query(with_("k_docs", "k_chunks", "k_tokens", more=_FUSED + _BOOSTED) + "SELECT chunk_id, row_number() OVER (ORDER BY s DESC, prior) AS rank, round(s, 6) AS score, source_type, original_path FROM k_final QUALIFY rank <= 10")
 def hybrid_search(m: Model) -> DataFrame:
-    """The flagship: two legs, fusion, boosts, documents."""
-    found = search.hybrid(m.chunks(), m.documents(), m.vectors(), QUERY, lambda _: _query_vector(m), AS_OF, settings=_SETTINGS)
+    """The flagship: two legs, fusion, boosts, documents. Chunks are cut once, as a store would hold them."""
+    found = search.hybrid(materialize(m.chunks(), "chunks"), m.documents(), m.vectors(), QUERY, lambda _: _query_vector(m), AS_OF, settings=_SETTINGS)
     return found.select("chunk_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), "source_type", "original_path")
 
 

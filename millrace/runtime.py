@@ -39,6 +39,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+#: A table of fewer partitions than this, at most some gigabytes, may be dealt anew to keep all cores busy.
+FEW_PARTITIONS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, or where it has fewer partitions than both the cluster has cores and FEW_PARTITIONS, df dealt over that many:
+    a small table in one file is read by one task otherwise. Larger tables are left as they are."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW_PARTITIONS)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def numbered(df: DataFrame, column: str, start: int, order: list[str]) -> DataFrame:
     """df with consecutive numbers from start + 1 in the given order, written to the shared folder.
 

@@ -375,3 +375,12 @@ def test_debounced_table_equals_session_windows(spark):
     want = rows.filter("ts is not null").groupBy(window).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths")).selectExpr("session_window.start", "session_window.end", "n", "paths")
     assert sorted(map(tuple, debounced(rows).collect())) == sorted(map(tuple, want.collect()))
     assert debounced(rows.limit(0)).count() == 0
+
+
+def test_components_with_hubs_dealt_over_tasks(spark, monkeypatch):
+    from millrace.operators import components
+
+    monkeypatch.setattr(components, "LIGHT", 0)
+    edges = spark.range(1, 3000).selectExpr("if(id < 2000, 0, id - 1) src", "id dst").unionAll(spark.sql("select 9000L, 9001L union all select 9001L, 9002L"))
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {**{k: 0 for k in range(2000)}, **{k: 0 for k in range(2000, 3000)}, **dict.fromkeys((9000, 9001, 9002), 9000)}
