@@ -10,7 +10,7 @@ from millrace.runtime import discard, materialize
 
 
 #: Edges up to which a round joins plainly: that many narrow rows are light for one task, even if all share a node.
-LIGHT = 200_000
+LIGHT = 5_000
 
 
 def _meet(rows: DataFrame, least: DataFrame, key: str, light: bool) -> DataFrame:
