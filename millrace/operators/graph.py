@@ -71,12 +71,13 @@ def steps(graph_edges: DataFrame, options: Options) -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[options.direction]
 
 
-def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Options = Options(), goal: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from start: nodes (id, depth) and the discovery edges (from_id, to_id, relation, kind, depth).
 
     A level's nodes are taken in ascending id. A node belongs to the first parent, facts before links, that reaches it,
     and only facts and links into the start node's domain count, unless links are followed: those may leave it. The
-    start counts towards max_nodes; what would exceed it ends the walk. Depth 0 is 5, at most 10; 0 nodes is 1000. Each
+    start counts towards max_nodes; what would exceed it ends the walk. Depth 0 is 5, at most 10; 0 nodes is 1000. With a
+    goal the walk ends after the level that reaches it. Each
     level is one shuffle join, its new nodes written to the shared folder; frontiers are bounded by max_nodes.
     """
     spark = graph.sparkSession
@@ -96,7 +97,7 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
         rank = F.row_number().over(Window.partitionBy("node").orderBy("parent", "order", "from_id", "to_id", "relation"))
         first = inside.withColumn("r", rank).filter("r = 1")
         level = materialize(first.orderBy("parent", "order", "from_id", "to_id", "relation").limit(max(0, room)).select("node", "from_id", "to_id", "relation", "kind", F.lit(depth).alias("depth")), "level")
-        n = level.count()
+        n, met = level.agg(F.count("*"), F.coalesce(F.max(F.col("node") == F.lit(goal).cast("bigint")), F.lit(False))).first()
         if not n:
             break
         room, size = room - n, size + n
@@ -104,7 +105,7 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
         seen = seen.unionByName(frontier)
         step = level.select("from_id", "to_id", "relation", "kind", "depth")
         found = step if found is None else found.unionByName(step)
-        if room <= 0:
+        if room <= 0 or met:
             break
     return seen, found if found is not None else spark.createDataFrame([], "from_id bigint, to_id bigint, relation string, kind string, depth int")
 
@@ -143,9 +144,10 @@ def path_exists(graph: DataFrame, graph_edges: DataFrame, start: int, end: int,
     depth = max(0, min(depth, MAX_DEPTH))
     if start == end:
         return True
-    if depth == 0 or graph.filter(F.col("id") == start).isEmpty():
+    ends = F.countDistinct(F.when(F.col("id").isin(start, end), F.col("id")))
+    if depth == 0 or graph.agg(ends).first()[0] < 2:
         return False
-    reached, _ = traverse(graph, graph_edges, start, Options(max_depth=depth, max_nodes=2**31 - 1, direction=direction, follow_links=True))
+    reached, _ = traverse(graph, graph_edges, start, Options(max_depth=depth, max_nodes=2**31 - 1, direction=direction, follow_links=True), goal=end)
     return not reached.filter(F.col("id") == end).isEmpty()
 
 

@@ -250,13 +250,29 @@ def bfs_reachable_depth(m: Model) -> DataFrame:
     return found
 
 
-@query()
+_PART_TREE = """k_reach(id, depth) AS (SELECT 5000000001::BIGINT, 0 UNION SELECT e.o, w.depth + 1 FROM k_reach w JOIN k_links e ON e.s = w.id WHERE w.depth < 3),
+k_depth AS (SELECT id, min(depth) AS depth FROM k_reach GROUP BY id),
+k_parent AS (SELECT n.id, n.depth, min(p.id) AS parent FROM k_depth n JOIN k_links e ON e.s = n.id JOIN k_depth p ON p.id = e.o AND p.depth = n.depth - 1 GROUP BY n.id, n.depth)"""
+
+
+@query(
+    with_("k_links", more=_PART_TREE, recursive=True)
+    + """SELECT least(id, parent) AS from_id, greatest(id, parent) AS to_id, 'same_as' AS relation, 'link' AS kind, depth FROM k_parent
+QUALIFY row_number() OVER (ORDER BY depth, parent, least(id, parent), greatest(id, parent)) <= 49"""
+)
 def bfs_tree_edges(m: Model) -> DataFrame:
     _, edges = graph.traverse(*_graph(m), PART + 1, graph.Options(max_depth=3, max_nodes=50, follow_links=True))
     return edges
 
 
-@query("SELECT 1 AS pair, true AS found UNION ALL SELECT 2, false UNION ALL SELECT 3, true")
+#: Walks inside the domain of each start; no start is on a link.
+_PATHS = """k_tests AS (SELECT * FROM (VALUES (1, 4000000001, 4000000001, 0), (2, 4000000001, 1000000099, 3), (3, 2000000000, 1000000000, 2)) AS t(pair, a, b, steps)),
+k_steps AS (SELECT s::BIGINT AS p, o::BIGINT AS n FROM k_facts WHERE status = 'approved' UNION SELECT o::BIGINT, s::BIGINT FROM k_facts WHERE status = 'approved'),
+k_walk(pair, home, node, depth, steps) AS (SELECT pair, domain, a, 0, steps FROM k_tests JOIN k_entities ON id = a
+  UNION SELECT w.pair, w.home, e.n, w.depth + 1, w.steps FROM k_walk w JOIN k_steps e ON e.p = w.node JOIN k_entities g ON g.id = e.n WHERE w.depth < w.steps AND lower(g.domain) = lower(w.home))"""
+
+
+@query(with_("k_facts", "k_entities", more=_PATHS, recursive=True) + "SELECT pair, EXISTS (SELECT 1 FROM k_walk w WHERE w.pair = t.pair AND w.node = t.b) AS found FROM k_tests t")
 def path_exists(m: Model) -> DataFrame:
     """Domains bound facts, so a nation's fact to its region cannot be walked from a customer of the nation."""
     g, e = _graph(m)
@@ -280,13 +296,44 @@ def bigrams(m: Model) -> DataFrame:
 # ---- resolution, links, extraction -------------------------------------------------------------------------------
 
 
-@query()
+#: Jaro-Winkler of the distinct names of parts, written out: y's places that x's characters take, one character a step.
+#: k_same holds parts under the least part of their name and brand, k_near the pairs of those that share a bigram.
+_JARO = """k_names AS (SELECT domain, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key, min(id) AS id FROM k_entities WHERE type = 'part' GROUP BY ALL),
+k_same AS (SELECT n.id AS a, e.id AS b FROM k_names n JOIN k_entities e ON e.type = 'part' AND e.domain = n.domain AND trim(regexp_replace(lower(e.name), '\\s+', ' ', 'g')) = n.key AND e.id <> n.id),
+k_grams AS (SELECT *, list_transform(range(1, length(key)), lambda i: substr(key, i, 2)) AS g FROM k_names),
+k_met AS (SELECT a.id AS a, b.id AS b, a.key AS x, b.key AS y FROM k_grams a JOIN k_grams b ON a.domain = b.domain AND a.id < b.id AND list_has_any(a.g, b.g)),
+k_match(x, y, i, places, met) AS (SELECT DISTINCT x, y, 0::BIGINT, []::BIGINT[], '' FROM k_met
+  UNION ALL SELECT x, y, i + 1, CASE WHEN j IS NULL THEN places ELSE list_append(places, j) END, CASE WHEN j IS NULL THEN met ELSE met || substr(x, i + 1, 1) END FROM (
+    SELECT *, list_filter(range(greatest(1, i + 1 - reach), least(length(y), i + 1 + reach) + 1), lambda k: substr(y, k, 1) = substr(x, i + 1, 1) AND NOT list_contains(places, k))[1] AS j
+    FROM (SELECT *, greatest(0, greatest(length(x), length(y)) // 2 - 1) AS reach FROM k_match WHERE i < length(x)))),
+k_jaro AS (SELECT x, y, CASE WHEN m = 0 THEN 0 ELSE (m / length(x) + m / length(y) + (m - swapped / 2) / m) / 3 END AS jaro,
+  CASE WHEN m = 0 THEN 0 ELSE length(list_filter(range(1, 5), lambda p: p <= least(length(x), length(y)) AND substr(x, 1, p) = substr(y, 1, p))) END AS prefix
+  FROM (SELECT x, y, length(places)::DOUBLE AS m, length(list_filter(range(1, length(places) + 1), lambda k: substr(met, k, 1) <> substr(y, list_sort(places)[k], 1)))::DOUBLE AS swapped FROM k_match WHERE i = length(x))),
+k_near AS (SELECT a, b, jaro + prefix * 0.1::DOUBLE * (1 - jaro) AS similarity FROM k_met JOIN k_jaro USING (x, y))"""
+
+
+@query(with_("k_entities", more=_JARO, recursive=True) + "SELECT a, b, round(similarity, 6) AS similarity FROM k_near WHERE similarity >= 0.85 UNION ALL SELECT a, b, 1.0 FROM k_same")
 def jaro_winkler_pairs(m: Model) -> DataFrame:
     names = m.entities().filter("type = 'part'").select("id", "domain", "type", "name")
     return resolve.similar_pairs(names, 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+#: No two words of part names have one stem, and none begins with an article: names with one key are equal names.
+_CLUSTERS = (
+    _JARO
+    + """,
+k_pairs AS (SELECT a, b FROM k_near WHERE similarity >= 0.95),
+k_joined(id, other) AS (SELECT id, id FROM k_names UNION SELECT j.id, CASE WHEN p.a = j.other THEN p.b ELSE p.a END FROM k_joined j JOIN k_pairs p ON j.other IN (p.a, p.b)),
+k_heads AS (SELECT id, min(other) AS cluster FROM k_joined GROUP BY id),
+k_all AS (SELECT a, b FROM k_same UNION ALL SELECT id, id FROM k_names),
+k_placed AS (SELECT b AS id, cluster FROM k_all JOIN k_heads ON k_heads.id = a)"""
+)
+
+
+@query(
+    with_("k_entities", more=_CLUSTERS, recursive=True)
+    + "SELECT p.id, cluster, canonical FROM k_placed p JOIN (SELECT cluster, first(name ORDER BY length(name) DESC, e.id) AS canonical FROM k_placed q JOIN k_entities e ON e.id = q.id GROUP BY cluster) USING (cluster)"
+)
 def cluster_components(m: Model) -> DataFrame:
     return resolve.clusters(m.entities().filter("type = 'part'").select("id", "domain", "type", "name"), 0.95)
 
