@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize
-from millrace.runtime import materialize
+from millrace.runtime import discard, materialize
 
 DEPTH, MAX_DEPTH, NODES = 5, 10, 1000
 #: Nodes reached so far up to which a walk broadcasts them; beyond, they are shuffled.
@@ -78,11 +78,11 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
     and only facts and links into the start node's domain count, unless links are followed: those may leave it. The
     start counts towards max_nodes; what would exceed it ends the walk. Depth 0 is 5, at most 10; 0 nodes is 1000. With a
     goal the walk ends after the level that reaches it. Each
-    level is one shuffle join, its new nodes written to the shared folder; frontiers are bounded by max_nodes.
+    level is one shuffle join, its new nodes written to the shared folder; only a level that exceeds max_nodes is sorted.
     """
     spark = graph.sparkSession
     depth_limit = min(options.max_depth or DEPTH, MAX_DEPTH)
-    room = (options.max_nodes or NODES) - 1
+    room = max(0, (options.max_nodes or NODES) - 1)
     origin = graph.filter(F.col("id") == start).select("domain_key").first()
     if origin is None:
         raise ValueError(f"no node {start}")
@@ -94,10 +94,13 @@ def traverse(graph: DataFrame, graph_edges: DataFrame, start: int, options: Opti
         small = F.broadcast if size <= BROADCAST else (lambda df: df)
         reached = walks.join(small(frontier.select(F.col("id").alias("parent"))), "parent").join(small(seen.select(F.col("id").alias("node"))), "node", "left_anti")
         inside = reached.join(homes, "node").filter((F.col("domain_key") == origin["domain_key"]) | (F.col("kind") == "link"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("parent", "order", "from_id", "to_id", "relation"))
-        first = inside.withColumn("r", rank).filter("r = 1")
-        level = materialize(first.orderBy("parent", "order", "from_id", "to_id", "relation").limit(max(0, room)).select("node", "from_id", "to_id", "relation", "kind", F.lit(depth).alias("depth")), "level")
+        least = F.min(F.struct("parent", "order", "from_id", "to_id", "relation", "kind")).alias("step")
+        level = materialize(inside.groupBy("node").agg(least).select("node", "step.*", F.lit(depth).alias("depth")), "level")
         n, met = level.agg(F.count("*"), F.coalesce(F.max(F.col("node") == F.lit(goal).cast("bigint")), F.lit(False))).first()
+        if n > room:
+            whole, n = level, room
+            level = materialize(whole.orderBy("parent", "order", "from_id", "to_id", "relation").limit(room), "level")
+            discard(whole)
         if not n:
             break
         room, size = room - n, size + n

@@ -137,6 +137,18 @@ def test_traversal_equals_a_plain_walk(spark, seed):
     assert graph.path_exists(g, e, 0, 0, 0)
 
 
+def test_paths_equal_a_plain_walk(spark):
+    rng = random.Random(5)
+    nodes = {k: rng.choice("ab") for k in range(12)}
+    edges = [(rng.randrange(12), rng.randrange(12), "x", rng.choice(["fact", "link"])) for _ in range(9)]
+    g = graph.nodes(spark.createDataFrame([(k, "t", f"n{k}", d) for k, d in nodes.items()], "id long, type string, name string, domain string"))
+    e = spark.createDataFrame(edges, "from_id long, to_id long, relation string, kind string")
+    depth, _ = bfs(nodes, edges, 0, graph.Options(2, 1000, follow_links=True))
+    assert [graph.path_exists(g, e, 0, k, 2) for k in range(14)] == [k in depth for k in range(14)]
+    assert not graph.path_exists(g, e, 77, 0, 2)
+    assert rows(graph.traverse(g, e, 0, graph.Options(2, 1, follow_links=True))[0]) == [(0, 0)]
+
+
 def test_graph_text_and_find(spark):
     ents = spark.createDataFrame([(1, "t", 'A "x"', "d"), (2, "t", "ab", "d"), (3, "t", "xab", "e")], "id long, type string, name string, domain string")
     g = graph.nodes(ents)
