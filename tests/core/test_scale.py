@@ -1,5 +1,6 @@
 """Steps whose cost must grow with the tables, not with the square of what has one name."""
 
+from millrace.plans import queries
 from millrace.plans.model import PART, Model
 
 
@@ -21,3 +22,12 @@ def test_links_meet_by_cells_of_keys(spark, tmp_path):
     assert rows(links, "subject_entity_id", "target_entity_id") == sorted(want, key=str)
     # a name alone is no join key: with one name on all parts the rows that meet would be the square of the parts
     assert "cell" in next(line for line in plan(links).splitlines() if "Join Inner" in line)
+
+
+def test_walks_read_a_stored_graph(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(queries, "_graph", lambda m, f=queries._graph: built.append(1) or f(m))
+    left = []
+    monkeypatch.setattr(queries, "discard", lambda df, f=queries.discard: left.append(df._millrace_path) or f(df))
+    assert queries.QUERIES["bfs_reachable_depth"](spark, "/root/testdata/sf0.001").count() >= 1
+    assert len(built) == 1 and len(left) == 2
