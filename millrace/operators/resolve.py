@@ -61,23 +61,28 @@ def candidate_tiers(mentions: DataFrame, entities: DataFrame, aliases: DataFrame
     Tiers: 1 equal match key, 2 equal stem key, 3 the configured canonical of the mention's name, 4 a recorded alias of
     an entity of its domain and type, 5 the most similar name among those that share a bigram, from the threshold on.
     Ties go to the least entity id. mentions has (mention_id, domain, type, name), aliases (entity_id, alias).
+
+    Distinct names meet, not rows: the least entity of a name stands for it, and mentions take what their name found. Only
+    names that no other tier finds are compared by bigrams.
     """
     spark = mentions.sparkSession
-    m = mentions.withColumn("n", normalize(F.col("name"))).withColumn("m", match_key(F.col("name"))).withColumn("s", stem_key("name"))
-    e = entities.select("domain", "type", F.col("id").alias("entity_id"), F.col("name").alias("ename")).withColumn("en", normalize(F.col("ename"))).withColumn("m", match_key(F.col("ename"))).withColumn("s", stem_key("ename"))
     place = ["domain", "type"]
-    found = lambda df, tier, score=F.lit(0.0): df.select("mention_id", "entity_id", F.lit(tier).alias("tier"), score.alias("score"))
+    m = mentions.select(*place, "name").distinct().withColumn("n", normalize(F.col("name"))).withColumn("m", match_key(F.col("name"))).withColumn("s", stem_key("name"))
+    known = entities.select(*place, F.col("id").alias("entity_id"), F.col("name").alias("ename"))
+    e = known.groupBy(*place, "ename").agg(F.min("entity_id").alias("entity_id")).withColumn("en", normalize(F.col("ename"))).withColumn("m", match_key(F.col("ename"))).withColumn("s", stem_key("ename"))
+    found = lambda df, tier, score=F.lit(0.0): df.select(*place, "name", "entity_id", F.lit(tier).alias("tier"), score.alias("score"))
     rows = found(m.join(e.drop("s"), [*place, "m"]), 1).unionByName(found(m.join(e.drop("m"), [*place, "s"]), 2))
     if configured:
         pairs = spark.createDataFrame([(normalize_py(k), normalize_py(v)) for k, v in configured.items()], "n string, en string")
         rows = rows.unionByName(found(m.join(F.broadcast(pairs), "n").join(e.drop("m", "s"), [*place, "en"]), 3))
-    known = aliases.select("entity_id", normalize(F.col("alias")).alias("n"))
-    rows = rows.unionByName(found(m.join(known, "n").join(e.drop("m", "s"), [*place, "entity_id"]), 4))
-    left, right = m.select("mention_id", *place, "n", F.explode(text.bigrams(F.col("n"))).alias("g")), e.select("entity_id", *place, "en", F.explode(text.bigrams(F.col("en"))).alias("g"))
-    met = left.join(right, [*place, "g"]).filter(_may_reach("n", "en", threshold)).select("mention_id", "entity_id", "n", "en").distinct()
+    named = aliases.select("entity_id", normalize(F.col("alias")).alias("n"))
+    rows = rows.unionByName(found(m.join(named, "n").join(known, [*place, "entity_id"]), 4))
+    free = m.join(rows.select(*place, "name").distinct(), [*place, "name"], "left_anti")
+    left, right = free.select(*place, "name", "n", F.explode(text.bigrams(F.col("n"))).alias("g")), e.select("entity_id", *place, "en", F.explode(text.bigrams(F.col("en"))).alias("g"))
+    met = left.join(right, [*place, "g"]).filter(_may_reach("n", "en", threshold)).select(*place, "name", "entity_id", "n", "en").distinct()
     rows = rows.unionByName(found(met.withColumn("w", jaro_winkler("n", "en")).filter(F.col("w") >= threshold), 5, -F.col("w")))
-    best = rows.groupBy("mention_id").agg(F.min(F.struct("tier", "score", "entity_id")).alias("best"))
-    return mentions.select("mention_id").join(best, "mention_id", "left").select("mention_id", F.col("best.entity_id").alias("entity_id"), F.col("best.tier").alias("tier"))
+    best = rows.groupBy(*place, "name").agg(F.min(F.struct("tier", "score", "entity_id")).alias("best"))
+    return mentions.select("mention_id", *place, "name").join(best, [*place, "name"], "left").select("mention_id", F.col("best.entity_id").alias("entity_id"), F.col("best.tier").alias("tier"))
 
 
 @dataclass

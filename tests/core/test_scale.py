@@ -1,5 +1,10 @@
 """Steps whose cost must grow with the tables, not with the square of what has one name."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from millrace.operators import resolve
 from millrace.plans import queries
 from millrace.plans.model import PART, Model
 
@@ -31,3 +36,18 @@ def test_walks_read_a_stored_graph(spark, monkeypatch):
     monkeypatch.setattr(queries, "discard", lambda df, f=queries.discard: left.append(df._millrace_path) or f(df))
     assert queries.QUERIES["bfs_reachable_depth"](spark, "/root/testdata/sf0.001").count() >= 1
     assert len(built) == 1 and len(left) == 2
+
+
+def test_tiers_compare_names_not_rows(spark):
+    names = ["red box", "Red  box", "the red boxes", "blue bag"]
+    places = [("d", "t"), ("e", "t")]
+    rows_of = [(k, *places[k % 2], names[k // 2 % 4]) for k in range(400)] + [(400, "d", "t", None), (401, None, "t", "red box"), (402, "d", "t", "red bo"), (403, "d", "t", "zz")]
+    mentions = spark.createDataFrame(rows_of, "mention_id long, domain string, type string, name string")
+    entities = mentions.filter("mention_id < 400").select(F.col("mention_id").alias("id"), "domain", "type", "name")
+    none = spark.createDataFrame([], "entity_id long, alias string")
+    found = resolve.candidate_tiers(mentions, entities, none, threshold=0.9)
+    got = {r["mention_id"]: (r["entity_id"], r["tier"]) for r in found.collect()}
+    least = {"red box": 0, "Red  box": 0, "the red boxes": 4, "blue bag": 6}
+    assert got == {k: (least[n] + k % 2, 1) for k, _, _, n in rows_of[:400]} | {400: (None, None), 401: (None, None), 402: (0, 5), 403: (None, None)}
+    # the rows of a name are one row before any join
+    assert re.search(r"Aggregate \[domain#\d+L?, type#\d+L?, name#\d+L?\], \[.*min\(", plan(found))
