@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from millrace.operators import resolve
+from millrace.operators import linking, resolve
 from millrace.plans import queries
 from millrace.plans.model import PART, Model
 
@@ -51,3 +51,19 @@ def test_tiers_compare_names_not_rows(spark):
     assert got == {k: (least[n] + k % 2, 1) for k, _, _, n in rows_of[:400]} | {400: (None, None), 401: (None, None), 402: (0, 5), 403: (None, None)}
     # the rows of a name are one row before any join
     assert re.search(r"Aggregate \[domain#\d+L?, type#\d+L?, name#\d+L?\], \[.*min\(", plan(found))
+
+
+def test_pairs_of_a_large_group_meet_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(linking, "SLICE", 8)
+    made = [(k, "t", ("Red  box", "red box")[k % 2], "abc"[k % 3]) for k in range(60)] + [(60, "u", "red box", "a"), (61, "t", "lone", "a"), (62, "t", None, "b"), (63, "t", "red box", None)]
+    entities = spark.createDataFrame(made, "id long, type string, name string, domain string")
+    group = [(k, d or "") for k, t, n, d in made if t == "t" and n and n != "lone"]
+    want = sorted(((a, b) for a, x in group for b, y in group if x < y), key=str)
+    pairs = linking.cross_domain_pairs(entities)
+    assert rows(pairs) == want
+    some = spark.createDataFrame([(3,), (7,), (63,)], "x long")
+    near = linking.cross_domain_pairs(entities, some)
+    assert rows(near) == [p for p in want if {3, 7, 63} & set(p)] == rows(linking.touching(pairs, some))
+    # a type and name alone are no join key, and pairs are not shuffled to find those with a candidate
+    assert "sb#" in next(line for line in plan(pairs).splitlines() if "Join Inner" in line and "<" in line)
+    assert plan(near).splitlines()[0].startswith("Project") and "Join Inner" in plan(near).splitlines()[1]
