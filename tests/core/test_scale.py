@@ -67,3 +67,11 @@ def test_pairs_of_a_large_group_meet_by_slices(spark, monkeypatch):
     # a type and name alone are no join key, and pairs are not shuffled to find those with a candidate
     assert "sb#" in next(line for line in plan(pairs).splitlines() if "Join Inner" in line and "<" in line)
     assert plan(near).splitlines()[0].startswith("Project") and "Join Inner" in plan(near).splitlines()[1]
+
+
+def test_chunks_carry_the_language(spark, tmp_path):
+    docs = [(1, "a" * 1900, "en"), (2, "short", None), (2, "twice", "de"), (3, " ", "en"), (4, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = Model(spark, str(tmp_path)).chunks()
+    assert rows(chunks, "chunk_id", "start_offset", "end_offset", "domains") == [(1000, 0, 1000, ["en"]), (1001, 900, 1900, ["en"]), (2000, 0, 5, ["de"]), (2000, 0, 5, [None])]
+    assert "Join" not in plan(chunks)
